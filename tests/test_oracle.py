@@ -1,0 +1,45 @@
+"""Every registered query against the same query in SQL, on the whole tables."""
+
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def oracle(data_dir):
+    connection = duckdb.connect()
+    for file in Path(data_dir).glob("*.parquet"):
+        connection.execute(f"create view {file.stem} as select * from '{file}'")
+    return connection
+
+
+def test_every_query_has_sql():
+    assert set(queries()) == set(oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(queries()))
+def test_query_equals_sql(spark, data_dir, oracle, name):
+    ours = queries()[name](spark, data_dir).toArrow().to_pandas()
+    theirs = oracle.sql(oracle_sql()[name]).arrow().read_all().to_pandas()
+    columns = sorted(ours.columns)
+    assert columns == sorted(theirs.columns)
+    assert len(ours) == len(theirs) > 0
+    ours = ours[columns].sort_values(columns, ignore_index=True)
+    theirs = theirs[columns].sort_values(columns, ignore_index=True)
+    for column in columns:
+        assert ours[column].dtype == theirs[column].dtype, column
+        assert (ours[column].to_numpy() == theirs[column].to_numpy()).all(), column
+
+
+def test_entry_has_rows(spark):
+    result = entry(spark)
+    assert result.columns == ["corpus", "document", "word", "tf", "icf", "score"]
+    assert result.limit(1).count() == 1
