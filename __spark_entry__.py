@@ -81,7 +81,8 @@ def _tf_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tf_parts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_counts(_documents(spark, sf_dir), "clean", one_row_per_document=True)[0]
+    documents = op.whole_documents(_documents(spark, sf_dir))
+    return term_counts(documents, "clean", one_row_per_document=True)[0]
 
 
 def _icf_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,7 @@ def _term_weights(
 def _term_weights_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(spark, sf_dir)
     tf, frequency = term_counts(documents, "clean", one_row_per_document=True)
-    icf = op.icf_parts(tf, frequency, op.corpus_size(documents))
+    icf = op.icf_parts(tf, frequency, op.corpus_size(documents, one_row_per_document=True))
     return _rounded(op.scores_by_union(tf, icf), "score")
 
 

@@ -8,7 +8,7 @@ from lexiweight.operators.counts import (
     word_count,
 )
 from lexiweight.operators.lookup import lookup_join
-from lexiweight.operators.tokens import keyed, sized_tokens, tokens
+from lexiweight.operators.tokens import keyed, sized_tokens, tokens, whole_documents
 from lexiweight.operators.weights import (
     icf_parts,
     scores,
@@ -34,6 +34,7 @@ __all__ = [
     "token_count",
     "tokens",
     "vocabulary",
+    "whole_documents",
     "word_count",
     "word_table",
 ]

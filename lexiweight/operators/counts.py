@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiweight.operators.tokens import keyed
+from lexiweight.operators.tokens import keyed, single_row
 
 
 def token_count(tokens: DataFrame) -> DataFrame:
@@ -45,18 +45,21 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     )
 
 
-def corpus_size(corpus: DataFrame) -> DataFrame:
+def corpus_size(corpus: DataFrame, one_row_per_document: bool = False) -> DataFrame:
     """``(corpus, num_docs)``; documents without a single word count too.
 
     Two plain aggregations in place of ``count(distinct)``: the first spreads a big corpus over
-    all tasks by document, the second sees one partial row per task and corpus.
+    all tasks by document, the second sees one partial row per task and corpus. With
+    ``one_row_per_document``, a document of several rows fails the query.
     """
-    documents = keyed(corpus).select("corpus", "document").distinct()
+    documents = keyed(corpus).groupBy("corpus", "document").agg(F.count(F.lit(1)).alias("num_rows"))
+    if one_row_per_document:
+        documents = documents.filter(single_row(F.col("num_rows")))
     return documents.groupBy("corpus").agg(F.count(F.lit(1)).alias("num_docs"))
 
 
 def rekey(counts: DataFrame, key: str) -> DataFrame:
-    """``(corpus, <key>, num_keys, num_tokens)``: word counts regrouped by ``document`` or ``word``."""
+    """``(corpus, <key>, num_pairs, num_tokens)``: word counts regrouped by ``document`` or ``word``."""
     return counts.groupBy("corpus", key).agg(
         F.count(F.lit(1)).alias("num_pairs"), F.sum("word_count").alias("num_tokens")
     )

@@ -18,24 +18,24 @@ def lookup_join(
     table: DataFrame,
     keys: list[str],
     weight: str,
+    total_weight: DataFrame,
     max_heavy_keys: int = MAX_HEAVY_KEYS,
 ) -> DataFrame:
     """Inner equi-join of ``rows`` with ``table``, which is unique on ``keys``.
 
-    The column ``weight`` of ``table`` says how many rows carry its key. A key is heavy if it
-    carries more than 1 / ``max_heavy_keys`` of all rows. There can never be more heavy keys than
-    that, so their table rows are safe to broadcast, and the rows that carry them are not
-    shuffled. What is left has no heavy key and is shuffled evenly. Both halves together are the
-    whole join.
+    The column ``weight`` of ``table`` bounds the number of rows that carry its key, and
+    ``total_weight`` (one row, one column) is the sum of all weights. A key is heavy if it has
+    more than 1 / ``max_heavy_keys`` of the total. There can never be ``max_heavy_keys`` of them,
+    so their table rows are safe to broadcast, and the rows that carry them are not shuffled.
+    What is left has no heavy key and is shuffled evenly. Both halves together are the whole join.
     """
     values = [c for c in table.columns if c not in keys]
-    total = table.agg(F.sum(weight)).scalar()
     key_bytes = sum((F.octet_length(F.col(k).cast("string")) for k in keys), F.lit(0))
     # One expression over weight and key: a test of the key alone would be pushed below the
     # aggregation that made `table`, and the branches would no longer share its shuffle.
     heavy_weight = F.when(key_bytes <= MAX_KEY_BYTES, F.col(weight)).otherwise(F.lit(0))
     heavy = F.broadcast(
-        table.filter(heavy_weight > total / F.lit(max_heavy_keys)).select(
+        table.filter(heavy_weight > total_weight.scalar() / F.lit(max_heavy_keys)).select(
             *keys, F.struct(*values).alias("near")
         )
     )

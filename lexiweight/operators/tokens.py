@@ -17,6 +17,23 @@ def keyed(corpus: DataFrame) -> DataFrame:
     return corpus.filter(F.col("corpus").isNotNull() & F.col("document").isNotNull())
 
 
+def single_row(num_rows: Column) -> Column:
+    """True for a document of one row; any other fails the query."""
+    return F.when(num_rows == 1, F.lit(True)).otherwise(
+        F.raise_error(F.lit("a document has several rows: do not pass one_row_per_document"))
+    )
+
+
+def whole_documents(corpus: DataFrame) -> DataFrame:
+    """The same corpus, with the promise that each row is a whole document checked as it runs.
+
+    The check reads the two key columns only.
+    """
+    rows = keyed(corpus).groupBy("corpus", "document").agg(F.count(F.lit(1)).alias("num_rows"))
+    checked = rows.agg(F.count_if(single_row(F.col("num_rows"))).alias("checked"))
+    return corpus.filter(checked.scalar() >= 0)
+
+
 def _one_row_per_word(rows: DataFrame, words_column: Column, *keep: str) -> DataFrame:
     """Explode, without the filter on the array size that Spark adds below a plain ``explode``:
     that filter is pushed down to the text and would split every text twice."""

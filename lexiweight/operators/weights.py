@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiweight.functions.weights import icf_weight, score_weight, tf_weight
+from lexiweight.operators.counts import document_size
 from lexiweight.operators.lookup import lookup_join, salted_join
 
 PAIR = ["corpus", "document", "word"]
@@ -13,10 +14,10 @@ PAIR = ["corpus", "document", "word"]
 
 def tf_parts(counts: DataFrame) -> DataFrame:
     """``(corpus, document, word, word_count, doc_size)`` from word counts of any corpus."""
-    sizes = counts.groupBy("corpus", "document").agg(
-        F.sum("word_count").alias("doc_size"), F.count(F.lit(1)).alias("num_words")
-    )
-    joined = lookup_join(counts, sizes, ["corpus", "document"], "num_words")
+    sizes = document_size(counts)
+    # Occurrences stand in for rows: a document never has more distinct words than words.
+    num_words = sizes.agg(F.sum("doc_size"))
+    joined = lookup_join(counts, sizes, ["corpus", "document"], "doc_size", num_words)
     return joined.select(*PAIR, "word_count", "doc_size")
 
 
@@ -41,7 +42,8 @@ def word_table(frequency: DataFrame, sizes: DataFrame) -> DataFrame:
 def icf_parts(counts: DataFrame, frequency: DataFrame, sizes: DataFrame) -> DataFrame:
     """``counts`` with ``num_docs`` and ``num_docs_with_word`` added to every row."""
     table = word_table(frequency, sizes)
-    return lookup_join(counts, table, ["corpus", "word"], "num_docs_with_word")
+    num_pairs = frequency.agg(F.sum("num_docs_with_word"))
+    return lookup_join(counts, table, ["corpus", "word"], "num_docs_with_word", num_pairs)
 
 
 def scores(parts: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from lexiweight import operators as op
 from lexiweight.sinks import write_stage
 from lexiweight.sources.stages import scan_stage
-from lexiweight.sources.tables import whole_documents
 
 
 def term_counts(
@@ -15,11 +14,11 @@ def term_counts(
 ) -> tuple[DataFrame, DataFrame]:
     """``tf_parts`` and ``document_frequency`` of a corpus, over one shared shuffle of the words.
 
-    ``one_row_per_document`` saves a shuffle and a join of all pairs; the query fails if the
-    promise does not hold.
+    ``one_row_per_document`` saves a shuffle and a join of all pairs. The promise is not checked
+    here: pass ``operators.whole_documents(corpus)`` to have it checked.
     """
     if one_row_per_document:
-        parts = op.sized_word_count(op.sized_tokens(whole_documents(corpus), profile))
+        parts = op.sized_word_count(op.sized_tokens(corpus, profile))
         return parts, op.document_frequency(parts)
     counts = op.word_count(op.tokens(corpus, profile))
     return op.tf_parts(counts), op.document_frequency(counts)
@@ -33,11 +32,15 @@ def term_weights(
 ) -> DataFrame:
     """``(corpus, document, word, tf, icf, score)``, a row per distinct word of each document.
 
-    ``sizes`` is ``(corpus, num_docs)`` for sources that yield no row for an empty document; by
-    default the documents of ``corpus`` are counted.
+    With ``one_row_per_document``, a document of several rows fails the query. ``sizes`` is
+    ``(corpus, num_docs)`` for sources that yield no row for an empty document; by default the
+    documents of ``corpus`` are counted.
     """
+    if sizes is None:
+        sizes = op.corpus_size(corpus, one_row_per_document)
+    elif one_row_per_document:
+        corpus = op.whole_documents(corpus)
     parts, frequency = term_counts(corpus, profile, one_row_per_document)
-    sizes = op.corpus_size(corpus) if sizes is None else sizes
     return op.scores(op.icf_parts(parts, frequency, sizes))
 
 

@@ -1,6 +1,6 @@
 from lexiweight.sources.files import directory_size, scan_documents, scan_lines
 from lexiweight.sources.stages import STAGES, scan_stage
-from lexiweight.sources.tables import from_table, spread, union_corpora, whole_documents
+from lexiweight.sources.tables import from_table, spread, union_corpora
 
 __all__ = [
     "STAGES",
@@ -11,5 +11,4 @@ __all__ = [
     "scan_stage",
     "spread",
     "union_corpora",
-    "whole_documents",
 ]

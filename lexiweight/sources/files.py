@@ -46,9 +46,11 @@ def scan_lines(spark: SparkSession, path: str, corpus: str) -> DataFrame:
     A file without a line yields no row: pass ``directory_size`` to the pipeline if the directory
     may hold empty files.
     """
+    # File metadata is URL-encoded, but for the plus sign, which stands for itself.
+    encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
     return spark.read.text(path).select(
         F.lit(corpus).alias("corpus"),
-        F.col("_metadata.file_name").alias("document"),
+        F.url_decode(encoded).alias("document"),
         F.col("value").alias("text"),
     )
 

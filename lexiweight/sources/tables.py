@@ -33,20 +33,6 @@ def union_corpora(*corpora: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [c.select(*CORPUS_COLUMNS) for c in corpora])
 
 
-def whole_documents(corpus: DataFrame) -> DataFrame:
-    """The same corpus, with the promise that each row is a whole document checked as it runs.
-
-    The check reads the two key columns only and fails the query if a document has several rows.
-    """
-    rows = corpus.groupBy("corpus", "document").agg(F.count(F.lit(1)).alias("num_rows"))
-    keyed_rows = rows.filter(F.col("corpus").isNotNull() & F.col("document").isNotNull())
-    most = keyed_rows.agg(F.coalesce(F.max("num_rows"), F.lit(0)).alias("most"))
-    once = F.when(F.col("most") <= 1, F.lit(True)).otherwise(
-        F.raise_error(F.lit("a document has several rows: do not pass one_row_per_document"))
-    )
-    return corpus.filter(most.select(once.alias("once")).scalar())
-
-
 def spread(corpus: DataFrame) -> DataFrame:
     """Spread a corpus that is too small to fill all cores; leave any other as it is.
 
