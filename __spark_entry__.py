@@ -107,10 +107,10 @@ def _icf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _term_weights(
-    spark: SparkSession, sf_dir: str, profile: str, corpus: str = "lang", whole: bool = True
+    spark: SparkSession, sf_dir: str, profile: str, corpus: str = "lang", **options: bool
 ) -> DataFrame:
-    documents = _documents(spark, sf_dir, corpus)
-    return _rounded(term_weights(documents, profile, whole), "tf", "icf", "score")
+    weighted = term_weights(_documents(spark, sf_dir, corpus), profile, **options)
+    return _rounded(weighted, "tf", "icf", "score")
 
 
 def _term_weights_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,9 +195,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "icf_parts": _icf_parts,
         "tf_weights": _tf_weights,
         "icf_weights": _icf_weights,
-        "term_weights_raw": lambda s, d: _term_weights(s, d, "raw"),
-        "term_weights_clean": lambda s, d: _term_weights(s, d, "clean"),
-        "term_weights_pieces": lambda s, d: _term_weights(s, d, "clean", whole=False),
+        "term_weights_raw": lambda s, d: _term_weights(s, d, "raw", one_row_per_document=True),
+        "term_weights_clean": lambda s, d: _term_weights(s, d, "clean", one_row_per_document=True),
+        "term_weights_pieces": lambda s, d: _term_weights(s, d, "clean"),
+        # The plans for large data, which the small tables would not get by themselves.
+        "term_weights_large": lambda s, d: _term_weights(
+            s, d, "clean", one_row_per_document=True, heavy_keys=True
+        ),
+        "term_weights_pieces_large": lambda s, d: _term_weights(s, d, "clean", heavy_keys=True),
         "term_weights_by_source": lambda s, d: _term_weights(s, d, "clean", corpus="source"),
         "term_weights_union": _term_weights_union,
         "term_weights_staged": _term_weights_staged,
@@ -327,6 +332,8 @@ def oracle_sql() -> dict[str, str]:
         "term_weights_raw": raw + _WEIGHTS,
         "term_weights_clean": clean + _WEIGHTS,
         "term_weights_pieces": clean + _WEIGHTS,
+        "term_weights_large": clean + _WEIGHTS,
+        "term_weights_pieces_large": clean + _WEIGHTS,
         "term_weights_by_source": _with("clean", _DOCUMENTS.format(corpus="source")) + _WEIGHTS,
         "term_weights_union": clean + _SCORES,
         "term_weights_staged": clean + _SCORES,

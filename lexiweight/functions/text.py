@@ -80,12 +80,14 @@ def make_key(first: Column, second: Column) -> Column:
 
 def split_key_last(key: Column) -> tuple[Column, Column]:
     """Undo ``word@document``: cut at the last ``@`` because words may contain more of them."""
-    return F.regexp_extract(key, r"(?s)^(.*)@([^@]*)$", 1), F.regexp_extract(key, r"(?s)^(.*)@([^@]*)$", 2)
+    last = F.substring_index(key, "@", -1)
+    return F.left(key, F.length(key) - F.length(last) - F.lit(1)), last
 
 
 def split_key_first(key: Column) -> tuple[Column, Column]:
     """Undo ``document@word``: cut at the first ``@``."""
-    return F.regexp_extract(key, r"(?s)^([^@]*)@(.*)$", 1), F.regexp_extract(key, r"(?s)^([^@]*)@(.*)$", 2)
+    first = F.substring_index(key, "@", 1)
+    return first, F.substr(key, F.length(first) + F.lit(2))
 
 
 def pack_ratio(numerator: Column, denominator: Column) -> Column:

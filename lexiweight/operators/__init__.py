@@ -3,6 +3,7 @@ from lexiweight.operators.counts import (
     document_frequency,
     document_size,
     rekey,
+    sized_word_count,
     token_count,
     vocabulary,
     word_count,
@@ -13,7 +14,6 @@ from lexiweight.operators.weights import (
     icf_parts,
     scores,
     scores_by_union,
-    sized_word_count,
     tf_parts,
     word_table,
 )

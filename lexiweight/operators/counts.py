@@ -18,9 +18,26 @@ def token_count(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("corpus", "document").agg(F.count(F.lit(1)).alias("num_tokens"))
 
 
+def counted(tokens: DataFrame, *keys: str) -> DataFrame:
+    """Occurrences per ``keys`` as ``word_count``.
+
+    The filter lets every row pass. It makes each user of this table ask for the count, whether
+    it goes on with it or not, so that all of them read one and the same shuffle; else those that
+    need only the keys would split all texts a second time to get a shuffle without counts.
+    """
+    counts = tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("word_count"))
+    return counts.filter(F.col("word_count") > 0)
+
+
 def word_count(tokens: DataFrame) -> DataFrame:
     """``(corpus, document, word, word_count)``."""
-    return tokens.groupBy("corpus", "document", "word").agg(F.count(F.lit(1)).alias("word_count"))
+    return counted(tokens, "corpus", "document", "word")
+
+
+def sized_word_count(sized_tokens: DataFrame) -> DataFrame:
+    """``(corpus, document, word, word_count, doc_size)`` for corpora with one row per document."""
+    counts = counted(sized_tokens, "corpus", "document", "doc_size", "word")
+    return counts.select("corpus", "document", "word", "word_count", "doc_size")
 
 
 def document_size(counts: DataFrame) -> DataFrame:
@@ -34,15 +51,8 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
-    """``(corpus, word, num_docs_with_word)``.
-
-    ``counts`` holds a word once per document, so counting rows is enough. The always true test
-    on ``word_count`` keeps that column alive: with it this branch reads the very shuffle that
-    the other users of ``counts`` read, instead of splitting all texts a second time.
-    """
-    return counts.groupBy("corpus", "word").agg(
-        F.count_if(F.col("word_count") > 0).alias("num_docs_with_word")
-    )
+    """``(corpus, word, num_docs_with_word)``; ``counts`` holds a word once per document."""
+    return counts.groupBy("corpus", "word").agg(F.count(F.lit(1)).alias("num_docs_with_word"))
 
 
 def corpus_size(corpus: DataFrame, one_row_per_document: bool = False) -> DataFrame:

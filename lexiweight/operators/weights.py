@@ -12,38 +12,43 @@ from lexiweight.operators.lookup import lookup_join, salted_join
 PAIR = ["corpus", "document", "word"]
 
 
-def tf_parts(counts: DataFrame) -> DataFrame:
-    """``(corpus, document, word, word_count, doc_size)`` from word counts of any corpus."""
+def tf_parts(counts: DataFrame, heavy_keys: bool = True) -> DataFrame:
+    """``(corpus, document, word, word_count, doc_size)`` from word counts of any corpus.
+
+    Here and below, ``heavy_keys=False`` is for data so small that no key can overload a task.
+    """
     sizes = document_size(counts)
-    # Occurrences stand in for rows: a document never has more distinct words than words.
-    num_words = sizes.agg(F.sum("doc_size"))
-    joined = lookup_join(counts, sizes, ["corpus", "document"], "doc_size", num_words)
+    keys = ["corpus", "document"]
+    if heavy_keys:
+        # Occurrences stand in for rows: a document never has more distinct words than words.
+        joined = lookup_join(counts, sizes, keys, "doc_size", sizes.agg(F.sum("doc_size")))
+    else:
+        joined = counts.join(sizes, keys)
     return joined.select(*PAIR, "word_count", "doc_size")
 
 
-def sized_word_count(sized_tokens: DataFrame) -> DataFrame:
-    """The same table as ``tf_parts`` without a join, for corpora with one row per document."""
-    counted = sized_tokens.groupBy("corpus", "document", "doc_size", "word").agg(
-        F.count(F.lit(1)).alias("word_count")
-    )
-    return counted.select(*PAIR, "word_count", "doc_size")
-
-
-def word_table(frequency: DataFrame, sizes: DataFrame) -> DataFrame:
+def word_table(frequency: DataFrame, sizes: DataFrame, heavy_keys: bool = True) -> DataFrame:
     """``(corpus, word, num_docs, num_docs_with_word)``: one row per word of a corpus.
 
     The number of documents meets the vocabulary here, not the far longer list of pairs.
     """
-    return salted_join(frequency, sizes, ["corpus"], spread_by="word").select(
-        "corpus", "word", "num_docs", "num_docs_with_word"
-    )
+    if heavy_keys:
+        joined = salted_join(frequency, sizes, ["corpus"], spread_by="word")
+    else:
+        joined = frequency.join(sizes, "corpus")
+    return joined.select("corpus", "word", "num_docs", "num_docs_with_word")
 
 
-def icf_parts(counts: DataFrame, frequency: DataFrame, sizes: DataFrame) -> DataFrame:
+def icf_parts(
+    counts: DataFrame, frequency: DataFrame, sizes: DataFrame, heavy_keys: bool = True
+) -> DataFrame:
     """``counts`` with ``num_docs`` and ``num_docs_with_word`` added to every row."""
-    table = word_table(frequency, sizes)
-    num_pairs = frequency.agg(F.sum("num_docs_with_word"))
-    return lookup_join(counts, table, ["corpus", "word"], "num_docs_with_word", num_pairs)
+    table = word_table(frequency, sizes, heavy_keys)
+    keys = ["corpus", "word"]
+    if heavy_keys:
+        num_pairs = frequency.agg(F.sum("num_docs_with_word"))
+        return lookup_join(counts, table, keys, "num_docs_with_word", num_pairs)
+    return counts.join(table, keys)
 
 
 def scores(parts: DataFrame) -> DataFrame:

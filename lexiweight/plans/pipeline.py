@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from lexiweight import operators as op
-from lexiweight.sinks import write_stage
+from lexiweight.sinks import write_stage, write_table
 from lexiweight.sources.stages import scan_stage
+from lexiweight.sources.tables import fits_one_task
 
 
 def term_counts(
-    corpus: DataFrame, profile: str = "raw", one_row_per_document: bool = False
+    corpus: DataFrame,
+    profile: str = "raw",
+    one_row_per_document: bool = False,
+    heavy_keys: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """``tf_parts`` and ``document_frequency`` of a corpus, over one shared shuffle of the words.
 
@@ -21,7 +25,7 @@ def term_counts(
         parts = op.sized_word_count(op.sized_tokens(corpus, profile))
         return parts, op.document_frequency(parts)
     counts = op.word_count(op.tokens(corpus, profile))
-    return op.tf_parts(counts), op.document_frequency(counts)
+    return op.tf_parts(counts, heavy_keys), op.document_frequency(counts)
 
 
 def term_weights(
@@ -29,38 +33,54 @@ def term_weights(
     profile: str = "raw",
     one_row_per_document: bool = False,
     sizes: DataFrame | None = None,
+    heavy_keys: bool | None = None,
 ) -> DataFrame:
     """``(corpus, document, word, tf, icf, score)``, a row per distinct word of each document.
 
     With ``one_row_per_document``, a document of several rows fails the query. ``sizes`` is
     ``(corpus, num_docs)`` for sources that yield no row for an empty document; by default the
-    documents of ``corpus`` are counted.
+    documents of ``corpus`` are counted. ``heavy_keys`` says whether to handle frequent words and
+    long documents apart from the rest; by default, whenever one task could not hold the corpus.
     """
+    if heavy_keys is None:
+        heavy_keys = not fits_one_task(corpus)
     if sizes is None:
         sizes = op.corpus_size(corpus, one_row_per_document)
     elif one_row_per_document:
         corpus = op.whole_documents(corpus)
-    parts, frequency = term_counts(corpus, profile, one_row_per_document)
-    return op.scores(op.icf_parts(parts, frequency, sizes))
+    parts, frequency = term_counts(corpus, profile, one_row_per_document, heavy_keys)
+    return op.scores(op.icf_parts(parts, frequency, sizes, heavy_keys))
 
 
 def term_weights_staged(
-    corpus: DataFrame, path: str, profile: str = "raw", sizes: DataFrame | None = None
+    corpus: DataFrame,
+    path: str,
+    profile: str = "raw",
+    sizes: DataFrame | None = None,
+    form: str = "parquet",
 ) -> DataFrame:
-    """``(corpus, document, word, score)``, each stage written as text below ``path`` and the next
-    one started from the written copy, so that a failed run can resume after its last stage.
+    """``(corpus, document, word, score)``, each stage written below ``path`` and the next one
+    started from the written copy.
 
+    ``form`` is ``parquet``, or ``text`` for the tab-separated lines of ``sinks.write_stage``.
     ``path`` must be on storage that all workers share.
     """
     spark = corpus.sparkSession
     sizes = op.corpus_size(corpus) if sizes is None else sizes
 
-    write_stage(op.word_count(op.tokens(corpus, profile)), "word_count", f"{path}/word_count")
-    counts = scan_stage(spark, f"{path}/word_count", "word_count")
-
-    write_stage(op.tf_parts(counts), "tf_parts", f"{path}/tf_parts")
-    parts = scan_stage(spark, f"{path}/tf_parts", "tf_parts")
+    def stage(table: DataFrame, name: str) -> DataFrame:
+        """Write and read back; without null keys, so that joins need not add tests for them to
+        some of the branches that read the copy."""
+        if form == "text":
+            write_stage(table, name, f"{path}/{name}")
+            return scan_stage(spark, f"{path}/{name}", name)
+        write_table(table, f"{path}/{name}")
+        # With its schema given, no job infers it and corpora named like numbers stay text.
+        return spark.read.schema(table.schema).parquet(f"{path}/{name}").select(*table.columns).dropna(
+            subset=["corpus", "document", "word"]
+        )
 
+    counts = stage(op.word_count(op.tokens(corpus, profile)), "word_count")
+    parts = stage(op.tf_parts(counts), "tf_parts")
     weighted = op.scores(op.icf_parts(parts, op.document_frequency(parts), sizes))
-    write_stage(weighted, "scores", f"{path}/scores")
-    return scan_stage(spark, f"{path}/scores", "scores")
+    return stage(weighted.select("corpus", "document", "word", "score"), "scores")

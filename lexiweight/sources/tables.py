@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CORPUS_COLUMNS = ["corpus", "document", "text"]
@@ -33,6 +33,22 @@ def union_corpora(*corpora: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [c.select(*CORPUS_COLUMNS) for c in corpora])
 
 
+def _bytes_conf(spark: SparkSession, name: str) -> int:
+    return int(spark.conf.get(name).rstrip("bB"))
+
+
+def estimated_bytes(table: DataFrame) -> int:
+    """Spark's own estimate of the size of a table: the size of the files for a scan, and a huge
+    number where it does not know."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fits_one_task(corpus: DataFrame) -> bool:
+    """Whether Spark would read all of the corpus in a single task if it were one file."""
+    limit = _bytes_conf(corpus.sparkSession, "spark.sql.files.maxPartitionBytes")
+    return estimated_bytes(corpus) <= limit
+
+
 def spread(corpus: DataFrame) -> DataFrame:
     """Spread a corpus that is too small to fill all cores; leave any other as it is.
 
@@ -42,6 +58,5 @@ def spread(corpus: DataFrame) -> DataFrame:
     """
     spark = corpus.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    open_cost = int(spark.conf.get("spark.sql.files.openCostInBytes").rstrip("bB"))
-    size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return corpus.repartition(cores) if size < open_cost * cores else corpus
+    limit = _bytes_conf(spark, "spark.sql.files.openCostInBytes") * cores
+    return corpus.repartition(cores) if estimated_bytes(corpus) < limit else corpus

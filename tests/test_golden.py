@@ -78,9 +78,10 @@ def test_toy_report_fixed_decimals(spark, toy_dir, tmp_path_factory):
     assert read_parts(out, "toy") == expected
 
 
-def test_toy_staged(spark, toy_dir, tmp_path_factory):
+@pytest.mark.parametrize("form", ["text", "parquet"])
+def test_toy_staged(spark, toy_dir, tmp_path_factory, form):
     out = str(tmp_path_factory.mktemp("stages"))
-    staged = term_weights_staged(scan_documents(spark, toy_dir, "toy"), out, "raw")
+    staged = term_weights_staged(scan_documents(spark, toy_dir, "toy"), out, "raw", form=form)
     lines = stage_lines(staged, "scores").orderBy("key").collect()
     assert [f"{r.key}\t{r.value}" for r in lines] == TOY_REPORT
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from pathlib import Path
 
@@ -46,27 +45,47 @@ def shuffles_of_words(df):
 
 @pytest.mark.parametrize("profile", ["raw", "clean"])
 @pytest.mark.parametrize("whole", [True, False])
-def test_text_is_split_once(documents, profile, whole):
+@pytest.mark.parametrize("heavy_keys", [True, False])
+def test_text_is_split_once(documents, profile, whole, heavy_keys):
     """All branches read one shuffle of the words: their subtrees are equal to the letter."""
-    assert len(shuffles_of_words(term_weights(documents, profile, whole))) == 1
+    weighted = term_weights(documents, profile, whole, heavy_keys=heavy_keys)
+    assert len(shuffles_of_words(weighted)) == 1
+    assert len(shuffles_of_words(weighted.select("document", "word"))) == 1
+    assert len(shuffles_of_words(weighted.select("document", "icf"))) == 1
+
+
+def test_heavy_keys_by_size(spark, documents, corpus):
+    """Small tables get a plain join; large ones, and those of unknown size, the split one."""
+    assert sources.fits_one_task(documents)
+    assert not sources.fits_one_task(corpus([("c", "d", "a")]))
+    small = planned(term_weights(documents))
+    assert "Union" not in small
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        large = planned(term_weights(documents))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "Union" in large
 
 
-def test_text_is_split_once_at_run_time(spark, documents, tmp_path):
-    """Count the tasks' output: the words reach a shuffle once, however many branches read it."""
-    weighted = term_weights(documents, "clean", one_row_per_document=True)
-    tracker = spark._jsparkSession.sharedState().statusStore()
-    weighted.write.format("noop").mode("overwrite").save()
-    plan = json.dumps(tracker.executionsList().last().physicalPlanDescription())
-    final = plan.split("Initial Plan")[0]
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    assert final.count("partial_count") >= 1
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize("heavy_keys", [True, False])
+def test_text_is_split_once_at_run_time(documents, whole, heavy_keys):
+    weighted = term_weights(documents, "clean", whole, heavy_keys=heavy_keys)
+    weighted.toArrow()
+    final = planned(weighted).split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final
+    of_words = r"Exchange hashpartitioning\(corpus#\d+, document#\d+.*word#\d+, \d+\).*plan_id=(\d+)"
+    assert len(set(re.findall(of_words, final))) == 1
+    assert "Python" not in final
 
 
 @pytest.mark.parametrize("profile", ["raw", "raw_java", "clean"])
 def test_no_filter_splits_the_text_again(documents, profile):
     for plan in (op.tokens(documents, profile), op.sized_tokens(documents, profile)):
         text = planned(plan)
-        assert text.count("split(") == (1 if profile != "raw_java" else 1), text
+        assert text.count("split(") == 1, text
 
 
 def test_word_count_combines_before_the_shuffle(documents):

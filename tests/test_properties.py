@@ -132,9 +132,10 @@ def test_union_form_equals_join_form(corpus):
     assert as_dict(op.scores_by_union(tf, icf)) == as_dict(op.scores(icf))
 
 
-def test_staged_equals_in_memory(corpus, tmp_path):
+@pytest.mark.parametrize("form", ["text", "parquet"])
+def test_staged_equals_in_memory(corpus, tmp_path, form):
     documents = corpus(random_rows(17))
-    staged = term_weights_staged(documents, str(tmp_path))
+    staged = term_weights_staged(documents, str(tmp_path), form=form)
     assert as_dict(staged) == as_dict(term_weights(documents))
 
 
