@@ -184,6 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "token_count_raw_java": lambda s, d: op.token_count(op.tokens(_documents(s, d), "raw_java")),
         "token_count_clean": lambda s, d: op.token_count(op.tokens(_documents(s, d), "clean")),
         "word_count_raw": lambda s, d: _counts(s, d, "raw"),
+        "word_count_raw_java": lambda s, d: _counts(s, d, "raw_java"),
         "word_count_clean": lambda s, d: _counts(s, d, "clean"),
         "document_size": lambda s, d: op.document_size(_counts(s, d)),
         "vocabulary": lambda s, d: op.vocabulary(op.tokens(_documents(s, d), "clean")),
@@ -243,6 +244,13 @@ def _with(profile: str = "clean", corpus_sql: str | None = None) -> str:
             select corpus, document, word from (
                 select corpus, document, unnest({_SPLIT.format(text="text")}) as word from corpora)
             where word <> ''"""
+    elif profile == "raw_java":
+        body = r"regexp_replace(text, '[ \t\n\x0B\f\r]+$', '')"
+        tokens = rf"""
+            select corpus, document,
+                regexp_replace(piece, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') as word
+            from (select corpus, document, unnest({_SPLIT.format(text=body)}) as piece
+                from corpora where text = '' or {body} <> '')"""
     else:
         tokens = f"""
             select corpus, document, word from (
@@ -296,24 +304,15 @@ def _rekey_sql(key: str) -> str:
     )
 
 
-# Tokens that leading white space and empty texts add when the empty word is kept.
-_RAW_JAVA_TOKENS = rf"""
-    select lang as corpus, cast(doc_id as varchar) as document,
-        cast(case when text = '' then 1
-             else len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'))
-                  + case when regexp_matches(text, '^[ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r]') then 1 else 0 end
-             end as bigint) as num_tokens
-    from documents where lang is not null and doc_id is not null"""
-
-
 def oracle_sql() -> dict[str, str]:
-    clean, raw = _with("clean"), _with("raw")
+    clean, raw, raw_java = _with("clean"), _with("raw"), _with("raw_java")
     return {
         "corpus_size": clean + "select corpus, num_docs from sizes",
         "token_count_raw": raw + _TOKEN_COUNT,
-        "token_count_raw_java": f"select * from ({_RAW_JAVA_TOKENS}) where num_tokens > 0",
+        "token_count_raw_java": raw_java + _TOKEN_COUNT,
         "token_count_clean": clean + _TOKEN_COUNT,
         "word_count_raw": raw + "select corpus, document, word, word_count from counts",
+        "word_count_raw_java": raw_java + "select corpus, document, word, word_count from counts",
         "word_count_clean": clean + "select corpus, document, word, word_count from counts",
         "document_size": clean + "select corpus, document, doc_size from doc_sizes",
         "vocabulary": clean + "select distinct corpus, word from tokens",
