@@ -177,8 +177,21 @@ def _key_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy("document").agg(F.count(F.lit(1)).alias("num_pages"))
 
 
+def _training_data() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the training-data operators; none where those are not installed."""
+    names = {"corpus_pipeline", "lexiweight.llm"}
+    try:
+        import corpus_pipeline
+        from lexiweight.llm import queries as llm
+    except ModuleNotFoundError as missing:
+        if missing.name not in names:
+            raise
+        return {}, {}
+    return llm.queries() | {"pipeline": corpus_pipeline.run}, llm.oracle_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    return _training_data()[0] | {
         "corpus_size": lambda s, d: op.corpus_size(_documents(s, d)),
         "token_count_raw": lambda s, d: op.token_count(op.tokens(_documents(s, d), "raw")),
         "token_count_raw_java": lambda s, d: op.token_count(op.tokens(_documents(s, d), "raw_java")),
@@ -306,7 +319,7 @@ def _rekey_sql(key: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     clean, raw, raw_java = _with("clean"), _with("raw"), _with("raw_java")
-    return {
+    return _training_data()[1] | {
         "corpus_size": clean + "select corpus, num_docs from sizes",
         "token_count_raw": raw + _TOKEN_COUNT,
         "token_count_raw_java": raw_java + _TOKEN_COUNT,
