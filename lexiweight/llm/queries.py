@@ -7,13 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiweight.llm import quality, toxicity
+from lexiweight.llm.bpe import encode_decode
+from lexiweight.llm.labelled import held_out
 from lexiweight.llm.substring import remove_repeats
 
+# The scores from which a document counts as label 1.
+GOOD_FROM, TOXIC_FROM = 0.3, 0.5
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed package of public tokenizers keeps a file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def _scored(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"),
+        held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    space = quality.fit(docs, _table(spark, sf_dir, "labels"), "quality")
+    return _scored(quality.score(docs, space, ["doc_id"]), GOOD_FROM)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    classifier = toxicity.fit(docs, _table(spark, sf_dir, "labels"), "toxic")
+    return _scored(toxicity.score(docs, classifier, ["doc_id"]), TOXIC_FROM)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("tokens", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -21,6 +65,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
+        "op2_toxicity": op2_toxicity,
+        "op7_bpe": op7_bpe,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
@@ -37,9 +84,9 @@ def oracle_sql() -> dict[str, str]:
             gone as (
                 select distinct s.doc_id, unnest(range(s.i, s.i + 13)) as i
                 from starts s join first f on s.passage = f.passage and f.doc_id < s.doc_id),
-            gone_list as (select doc_id, list(i) as at from gone group by doc_id)
-            select words.doc_id, len(w) as n_words, coalesce(len(at), 0) as n_removed,
+            gone_list as (select doc_id, list(i) as places from gone group by doc_id)
+            select words.doc_id, len(w) as n_words, coalesce(len(places), 0) as n_removed,
                 sha256(array_to_string([w[i] for i in range(1, len(w) + 1)
-                    if at is null or not list_contains(at, i)], ' ')) as kept_sha256
+                    if places is null or not list_contains(places, i)], ' ')) as kept_sha256
             from words left join gone_list using (doc_id)""",
     }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiweight.llm import words as W
-from lexiweight.llm.shared import saved
+from lexiweight.llm.shared import saved, ship
 
 # Words of a window.
 WINDOW = 13
@@ -327,6 +327,7 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Tasks exchange packed arrays, and each task gathers its own repetitions first, so a passage
     of very many documents reaches a bucket once for each portion of a task.
     """
+    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0

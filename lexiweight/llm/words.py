@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are handled in blocks of about so many bytes (a longer text is a block of its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -62,13 +62,16 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The texts of a column in blocks of up to ``limit`` bytes, or of one longer text."""
+def blocks(
+    column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES, rows: int = 1 << 14
+) -> Iterator[Block]:
+    """The texts of a column in blocks of up to ``limit`` bytes and ``rows`` rows; a text that is
+    longer is a block of its own."""
     data, offsets = utf8(column)
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), first + rows, n)
         part = offsets[first : last + 1]
         yield Block(range(first, last), data[part[0] : part[-1]], part - part[0])
         first = last
@@ -115,11 +118,20 @@ def word_hashes(block: Block, words: Words, seed: int = 0) -> np.ndarray:
     length = words.end - words.start
     if not len(length):
         return np.zeros(0, np.uint64)
-    place = spans(length)
-    data = block.data[place + np.repeat(words.start, length)]
+    factor = stream(seed + 2, int(length.max())) | np.uint64(1)
+    sums = np.empty(len(length), np.uint64)
+    # In parts of about BLOCK_BYTES, so that a very long text takes no more memory.
+    edges = np.cumsum(length)
+    first = 0
+    while first < len(length):
+        base = edges[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(edges, base + BLOCK_BYTES, "right")))
+        own = length[first:last]
+        place = spans(own)
+        data = block.data[place + np.repeat(words.start[first:last], own)]
+        sums[first:last] = np.add.reduceat(_BYTE[data] * factor[place], np.cumsum(own) - own)
+        first = last
     with np.errstate(over="ignore"):
-        value = _BYTE[data] * (stream(seed + 2, int(length.max())) | np.uint64(1))[place]
-        sums = np.add.reduceat(value, np.cumsum(length) - length)
         return mix(sums + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
