@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiweight.llm import quality, toxicity
 from lexiweight.llm.bpe import encode_decode
 from lexiweight.llm.labelled import held_out
+from lexiweight.llm.minhash import near_duplicates
 from lexiweight.llm.substring import remove_repeats
 
 # The scores from which a document counts as label 1.
@@ -48,6 +49,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, classifier, ["doc_id"]), TOXIC_FROM)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
     return coded.select(
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_toxicity": op2_toxicity,
+        "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op7_bpe": op7_bpe,
         "op10_substring_dedup": op10_substring_dedup,
     }
