@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lexiweight.llm import quality, toxicity
 from lexiweight.llm.bpe import encode_decode
+from lexiweight.llm.cells import near_vectors
+from lexiweight.llm.collisions import nearest
 from lexiweight.llm.labelled import held_out
 from lexiweight.llm.minhash import near_duplicates
 from lexiweight.llm.substring import remove_repeats
@@ -53,6 +55,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
     return coded.select(
@@ -63,6 +69,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -73,13 +83,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_toxicity": op2_toxicity,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_bpe": op7_bpe,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_nearest_neighbours": """
+            with rows as (
+                select vec_id, min(embedding)::double[] as v from embeddings
+                where vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+                    and len(list_filter(embedding, x -> x <> 0)) > 0 group by vec_id),
+            pairs as (
+                select q.vec_id as query_id, c.vec_id, sqrt(list_sum(list_transform(
+                    list_zip(q.v, c.v), p -> (p[1] - p[2]) * (p[1] - p[2])))) as score
+                from rows q join rows c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+            ranked as (
+                select *, row_number() over (partition by query_id order by score, vec_id) as rank from pairs)
+            select query_id, cast(rank as int) as rank, vec_id, round(score, 12) as score from ranked where rank <= 10""",
+        "op8_embedding_near_dedup": """
+            with recursive vectors as (
+                select vec_id, embedding::double[] as v from embeddings
+                where len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+                    and len(list_filter(embedding, x -> x <> 0)) > 0),
+            links as (
+                select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.vec_id <> b.vec_id
+                where list_cosine_similarity(a.v, b.v) >= 0.95),
+            reached as (
+                select vec_id as a, vec_id as b from embeddings
+                union
+                select reached.a, links.b from reached join links on reached.b = links.a),
+            parts as (select a as vec_id, min(b) as component_id from reached group by a),
+            counts as (select a as vec_id, count(*) as n_links from links group by a)
+            select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+            from parts left join counts using (vec_id)""",
         "op10_substring_dedup": r"""
             with words as (
                 select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
