@@ -92,23 +92,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op6_nearest_neighbours": """
-            with rows as (
-                select vec_id, min(embedding)::double[] as v from embeddings
-                where vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-                    and len(list_filter(embedding, x -> x <> 0)) > 0 group by vec_id),
-            pairs as (
-                select q.vec_id as query_id, c.vec_id, sqrt(list_sum(list_transform(
-                    list_zip(q.v, c.v), p -> (p[1] - p[2]) * (p[1] - p[2])))) as score
-                from rows q join rows c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
-            ranked as (
-                select *, row_number() over (partition by query_id order by score, vec_id) as rank from pairs)
-            select query_id, cast(rank as int) as rank, vec_id, round(score, 12) as score from ranked where rank <= 10""",
         "op8_embedding_near_dedup": """
             with recursive vectors as (
                 select vec_id, embedding::double[] as v from embeddings
-                where len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-                    and len(list_filter(embedding, x -> x <> 0)) > 0),
+                where len([x for x in embedding if x is null or not isfinite(x)]) = 0
+                    and len([x for x in embedding if x <> 0]) > 0),
             links as (
                 select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.vec_id <> b.vec_id
                 where list_cosine_similarity(a.v, b.v) >= 0.95),
