@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweight.llm import quality, toxicity
+from lexiweight.llm import quality, toxicity, warc
 from lexiweight.llm.bpe import encode_decode
 from lexiweight.llm.cells import near_vectors
 from lexiweight.llm.collisions import nearest
 from lexiweight.llm.labelled import held_out
 from lexiweight.llm.minhash import near_duplicates
+from lexiweight.llm.mixing import mix
+from lexiweight.llm.sharding import SHARD_BYTES, assign_shards
 from lexiweight.llm.substring import remove_repeats
 
 # The scores from which a document counts as label 1.
 GOOD_FROM, TOXIC_FROM = 0.3, 0.5
+# The twenty sources in equal parts; all others together get one more.
+SOURCE_WEIGHTS = {f"src{i}": 1.0 for i in range(20)} | {"": 1.0}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +55,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, classifier, ["doc_id"]), TOXIC_FROM)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES).drop("row")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +86,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -82,16 +99,86 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_toxicity": op2_toxicity,
+        "op3_warc": op3_warc,
+        "op4_sharding": op4_sharding,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_bpe": op7_bpe,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
+        "op9_source_mixing": op9_source_mixing,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
 
+def sharding_sql(limit: int = SHARD_BYTES) -> str:
+    return f"""
+        with hashed as (
+            select row_number() over () as number, doc_id, coalesce(strlen(text), 0) as bytes,
+                lpad(bin(cast('0x' || substr(md5(concat(cast(doc_id as varchar), ':', text)), 1, 15) as bigint)),
+                    60, '0') as bits
+            from documents),
+        levels as (select *, unnest(range(0, 61)) as depth from hashed),
+        sizes as (
+            select depth, substr(bits, 1, depth) as shard, cast(sum(bytes) as bigint) as shard_bytes, count(*) as n
+            from levels group by depth, shard),
+        fitting as (
+            select number, doc_id, bytes, shard, depth, shard_bytes,
+                row_number() over (partition by number order by depth) as place
+            from levels join sizes using (depth)
+            where shard = substr(bits, 1, depth) and (shard_bytes <= {limit} or n = 1))
+        select doc_id, bytes, shard, cast(depth as int) as depth, shard_bytes from fitting where place = 1"""
+
+
+def mixing_sql(weights: dict[str, float] | None = None, seed: int = 0) -> str:
+    weights = weights or SOURCE_WEIGHTS
+    total = sum(weights.values())
+    values = ", ".join(f"('{s}', {w / total!r}::double)" for s, w in weights.items())
+    return f"""
+        with recursive shares(key, share) as (values {values}),
+        rows as (
+            select *, case when source in (select key from shares) then source else '' end as key from documents),
+        sizes as (select key, sum(coalesce(strlen(text), 0)) as bytes from rows group by key),
+        rates as (
+            select key, case when bytes > 0 then
+                1.0::double * (select sum(bytes) from sizes)::double * coalesce(share, 0) / bytes::double else 1.0 end as rate
+            from sizes left join shares using (key)),
+        parts as (select key, greatest(ceil(rate / 256.0::double), 1) as parts, rate from rates),
+        below as (
+            select key, parts, rate / parts as mean, 0 as k, exp(-(rate / parts)) as p, exp(-(rate / parts)) as below
+            from parts
+            union all
+            select key, parts, mean, k + 1, p * mean / (k + 1), below + p * mean / (k + 1) from below
+            where k < ceil(mean + 12 * sqrt(mean) + 30)),
+        draws as (
+            select rows.*, unnest(range(1, parts::bigint + 1)) as part from rows join parts using (key)),
+        uniform as (
+            select *, cast('0x' || substr(md5(concat('{seed}:', doc_id, ':', part)), 1, 13) as bigint) / 4503599627370496.0::double as u
+            from draws),
+        copies as (
+            select doc_id, cast(sum((select count(*) from below b where b.key = uniform.key and b.below <= u)) as bigint) as copies
+            from uniform group by doc_id)
+        select documents.*, cast(unnest(range(1, copies + 1)) as int) as copy from documents join copies using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc": """
+            with pages_of as (
+                select page_id, coalesce(html, '') as html from pages),
+            firsts as (select html, min(page_id) as first from pages_of group by html),
+            named as (select page_id, html, first, sha1(html) as hex from pages_of join firsts using (html)),
+            bits as (
+                select page_id, html, first, string_agg(lpad(bin(cast('0x' || substr(hex, i, 2) as bigint)), 8, '0'), '' order by i) as bits
+                from (select *, unnest(range(1, 41, 2)) as i from named) group by page_id, html, first)
+            select page_id, strlen(html) as payload_bytes,
+                array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    1 + list_sum([cast(substr(bits, 5 * j + b, 1) as int) * (1 << (5 - b)) for b in range(1, 6)])::bigint, 1)
+                    for j in range(0, 32)], '') as payload_digest,
+                case when page_id = first then 'response' else 'revisit' end as record_type,
+                case when page_id > first then first end as refers_to
+            from bits""",
+        "op4_sharding": sharding_sql(),
+        "op9_source_mixing": mixing_sql(),
         "op8_embedding_near_dedup": """
             with recursive vectors as (
                 select vec_id, embedding::double[] as v from embeddings
