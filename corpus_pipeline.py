@@ -1,24 +1,70 @@
-"""From raw documents to token ids: the stages of the training-data pipeline."""
+"""From raw documents to token ids: the stages of the training-data pipeline.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiweight.llm import quality
+from lexiweight.llm.bpe import encode_decode
+from lexiweight.llm.minhash import drop_near_duplicates
+from lexiweight.llm.mixing import mix
+from lexiweight.llm.queries import GOOD_FROM, SOURCE_WEIGHTS, tokenizer_path
 from lexiweight.llm.shared import new_folder
 from lexiweight.llm.substring import remove_repeats
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; it learns from the labels of the corpus."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.filter(F.col("score") >= GOOD_FROM).select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-copies."""
+    return drop_near_duplicates(docs)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text without passages that a document of a smaller id has."""
+    """Each text without the passages that a document of a smaller id has; it is the words that are
+    left, joined by blanks."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     left = remove_repeats(docs, carry=others)
     values = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
-    return left.select(*(values.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return left.select(*(values[c].alias(c) if c in values else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources in equal parts: a document appears as often as it was drawn, maybe never."""
+    return mix(docs, SOURCE_WEIGHTS).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids as little-endian unsigned 32-bit integers, and a digest of the decoded text."""
+    coded = encode_decode(docs, tokenizer_path(), carry=["source"])
+    return coded.select(
+        "doc_id",
+        F.col("row.source").alias("source"),
+        "n_tokens",
+        "tokens",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
-STAGES = [("substring dedup", substring_dedup)]
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("minhash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("source mixing", source_mixing),
+    ("bpe encoding", encoding),
+]
 
+# Models, samples and tokens are beyond SQL; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
 
