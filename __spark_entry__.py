@@ -15,14 +15,18 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweight import operators as op
 from lexiweight import sinks, sources, term_counts, term_weights, term_weights_staged
-from lexiweight.functions import document_id, icf_weight, tf_weight
+from lexiweight.functions import document_id, format_score, icf_weight, tf_weight
 
 SMOKE_DIR = "/root/testdata/sf0.001"
+# What is put around the texts of the odd documents, in turn.
+ODD_ENDS = ["", " ", "\t\n", "\x01", " \x1f ", "7\u2028x", "1\u0085"]
+# Pieces into which the queries named large split all pairs: as on a cluster with many partitions.
+MANY_PIECES = 40_000
 
 
 # --- corpora ---------------------------------------------------------------------------------
@@ -32,9 +36,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, corpus: DataFrame) -> DataFrame:
+    """The corpus over as many partitions as the caller asks for by a setting; as it is read, if none.
+
+    Files that are too few for the cores of a machine are worth it; others are not.
+    """
+    partitions = spark.conf.get("spark.lexiweight.repartition", None)
+    return corpus.repartition(int(partitions)) if partitions else corpus
+
+
 def _documents(spark: SparkSession, sf_dir: str, corpus: str = "lang") -> DataFrame:
     table = _table(spark, sf_dir, "documents")
-    return sources.spread(sources.from_table(table, "doc_id", "text", corpus))
+    return _dealt(spark, sources.from_table(table, "doc_id", "text", corpus))
+
+
+def _odd_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with what the profiles treat differently put before and into the texts: white
+    space, control characters and line separators, by the number of the document."""
+    table = _table(spark, sf_dir, "documents")
+    ends = F.array(*(F.lit(e) for e in ODD_ENDS))
+    end = F.get(ends, F.pmod("doc_id", F.lit(len(ODD_ENDS))).cast("int"))
+    inner = F.replace(F.coalesce("text", F.lit("")), F.lit(" th"), F.lit(" 1a\u2028th"))
+    text = F.concat(end, inner, end)
+    return _dealt(spark, sources.from_table(table, "doc_id", text, "lang"))
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,22 +70,25 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _three_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     benchmark = _table(spark, sf_dir, "benchmark")
-    return sources.spread(
+    return _dealt(
+        spark,
         sources.union_corpora(
             sources.from_table(documents, "doc_id", "text", F.lit("documents")),
             sources.from_table(benchmark, "item_id", "text", F.lit("benchmark")),
             _conversations(spark, sf_dir),
-        )
+        ),
     )
 
 
 def _stage_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a local one in local mode only."""
+    """A new folder below the one that the cluster shares. Where the session names none and there is
+    no cluster, one is set; the session's owner removes it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all workers share")
-        shared = tempfile.gettempdir()
+        shared = tempfile.mkdtemp(prefix="lexiweight-")
+        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/stages-{uuid.uuid4().hex}"
 
 
@@ -152,24 +179,37 @@ def _term_weights_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
-    """The texts of ``documents`` as a directory of text files of bounded size."""
+    """The texts of ``documents``, a file for each in a folder that names it."""
     path = _stage_dir(spark)
-    texts = _documents(spark, sf_dir).select("text").filter(F.col("text").isNotNull())
-    texts.write.option("maxRecordsPerFile", 10_000).text(path)
-    return path
+    texts = _documents(spark, sf_dir).select("document", F.coalesce("text", F.lit("")).alias("text"))
+    texts.hint("rebalance", "document").write.partitionBy("document").text(path)
+    return f"{path}/*/*"
+
 
+def _named_by_folder(path: Column) -> Column:
+    return F.regexp_extract(path, "/document=([^/]+)/", 1)
 
-def _word_totals(corpus: DataFrame) -> DataFrame:
-    totals = op.rekey(op.word_count(op.tokens(corpus, "raw")), "word")
-    return totals.select("corpus", "word", "num_tokens")
 
+def _scanned(spark: SparkSession, sf_dir: str, scan: Callable[..., DataFrame]) -> DataFrame:
+    corpus = scan(spark, _text_files(spark, sf_dir), "files", _named_by_folder)
+    return op.word_count(op.tokens(corpus, "raw"))
 
-def _scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _word_totals(sources.scan_documents(spark, _text_files(spark, sf_dir), "files"))
 
+def _directory_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.directory_size(spark, _text_files(spark, sf_dir), "files", _named_by_folder)
 
-def _scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _word_totals(sources.scan_lines(spark, _text_files(spark, sf_dir), "files"))
+
+def _icf_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _stage_dir(spark)
+    sinks.write_stage(_icf_parts(spark, sf_dir), "icf_parts", path)
+    return sources.scan_stage(spark, path, "icf_parts")
+
+
+def _tf_weights_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights with 16 decimals, rounded as everywhere here; below 1, so that both engines print
+    the same digits."""
+    weights = _tf_weights(spark, sf_dir)
+    return weights.withColumn("tf", format_score(F.col("tf"), "fixed"))
 
 
 def _key_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,11 +252,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "term_weights_raw": lambda s, d: _term_weights(s, d, "raw", one_row_per_document=True),
         "term_weights_clean": lambda s, d: _term_weights(s, d, "clean", one_row_per_document=True),
         "term_weights_pieces": lambda s, d: _term_weights(s, d, "clean"),
-        # The plans for large data, which the small tables would not get by themselves.
+        # The same plans with keys split as finely as many partitions would ask for.
         "term_weights_large": lambda s, d: _term_weights(
-            s, d, "clean", one_row_per_document=True, heavy_keys=True
+            s, d, "clean", one_row_per_document=True, pieces=MANY_PIECES
         ),
-        "term_weights_pieces_large": lambda s, d: _term_weights(s, d, "clean", heavy_keys=True),
+        "term_weights_pieces_large": lambda s, d: _term_weights(s, d, "clean", pieces=MANY_PIECES),
         "term_weights_by_source": lambda s, d: _term_weights(s, d, "clean", corpus="source"),
         "term_weights_union": _term_weights_union,
         "term_weights_staged": _term_weights_staged,
@@ -224,8 +264,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_lines": _report_lines,
         "sorted_report": _sorted_report,
         "stage_roundtrip": _stage_roundtrip,
-        "scan_documents": _scan_documents,
-        "scan_lines": _scan_lines,
+        "tf_weights_fixed": _tf_weights_fixed,
+        "icf_stage_roundtrip": _icf_stage,
+        "scan_documents": lambda s, d: _scanned(s, d, sources.scan_documents),
+        "scan_lines": lambda s, d: _scanned(s, d, sources.scan_lines),
+        "directory_size": _directory_size,
+        "token_count_raw_java_odd": lambda s, d: op.token_count(op.tokens(_odd_documents(s, d), "raw_java")),
+        "word_count_raw_java_odd": lambda s, d: op.word_count(op.tokens(_odd_documents(s, d), "raw_java")),
+        "word_count_clean_odd": lambda s, d: op.word_count(op.tokens(_odd_documents(s, d), "clean")),
         "key_parts": _key_parts,
     }
 
@@ -237,11 +283,15 @@ def entry(spark: SparkSession) -> DataFrame:
 # --- the same in SQL -------------------------------------------------------------------------
 
 _SPLIT = r"regexp_split_to_array({text}, '[ \t\n\x0B\f\r]+')"
-_PUNCTUATION = r"""'[,.(){}*=?!''";:&]'"""
-_DOCUMENTS = (
-    "select {corpus} as corpus, cast(doc_id as varchar) as document, text from documents"
-    " where {corpus} is not null and doc_id is not null"
-)
+_PUNCTUATION = r"""'[,.({}*=?!)''";:&]'"""
+# The dot of the rule stops at line separators.
+_NOT_A_TO_Z = r"^[^a-z]+[^\n\r\x{85}\x{2028}\x{2029}]*"
+_DOCUMENTS = "select {corpus} as corpus, cast(doc_id as varchar) as document, text from documents"
+_ODD = f"""
+    select corpus, document, concat(ends, replace(coalesce(text, ''), ' th', concat(' 1a', chr(8232), 'th')), ends) as text
+    from (select lang as corpus, cast(doc_id as varchar) as document, text,
+        [{", ".join("concat('', " + ", ".join(f"chr({ord(c)})" for c in e) + ")" if e else "''" for e in ODD_ENDS)}][doc_id % {len(ODD_ENDS)} + 1] as ends
+        from documents)"""
 _THREE_CORPORA = """
     select 'documents' as corpus, cast(doc_id as varchar) as document, text from documents
     union all
@@ -268,7 +318,7 @@ def _with(profile: str = "clean", corpus_sql: str | None = None) -> str:
         tokens = f"""
             select corpus, document, word from (
                 select corpus, document,
-                    regexp_replace(regexp_replace(piece, {_PUNCTUATION}, '', 'g'), '^[^a-z]+.*', '', 's') as word
+                    regexp_replace(regexp_replace(piece, {_PUNCTUATION}, '', 'g'), '{_NOT_A_TO_Z}', '') as word
                 from (select corpus, document, unnest({_SPLIT.format(text="lower(text)")}) as piece from corpora))
             where word <> ''"""
     return f"""
@@ -304,10 +354,8 @@ _TF_PARTS = (
     " from counts join doc_sizes using (corpus, document)"
 )
 _TOKEN_COUNT = "select corpus, document, count(*) as num_tokens from tokens group by corpus, document"
-_FILES = "select 'files' as corpus, '' as document, text from documents"
-_WORD_TOTALS = (
-    "select corpus, word, cast(sum(word_count) as bigint) as num_tokens from counts group by corpus, word"
-)
+_FILES = "select 'files' as corpus, cast(doc_id as varchar) as document, text from documents"
+_COUNTS = "select corpus, document, word, word_count from counts"
 
 
 def _rekey_sql(key: str) -> str:
@@ -353,8 +401,17 @@ def oracle_sql() -> dict[str, str]:
         "report_lines": clean + _LINES,
         "sorted_report": clean + _LINES,
         "stage_roundtrip": clean + _TF_PARTS,
-        "scan_documents": _with("raw", _FILES) + _WORD_TOTALS,
-        "scan_lines": _with("raw", _FILES) + _WORD_TOTALS,
+        "tf_weights_fixed": clean
+        + "select corpus, document, word, printf('%.16f', round(tf, 12)) as tf from weights",
+        "icf_stage_roundtrip": clean
+        + "select corpus, document, word, num_docs, num_docs_with_word"
+        " from counts join frequencies using (corpus, word) join sizes using (corpus)",
+        "scan_documents": _with("raw", _FILES) + _COUNTS,
+        "scan_lines": _with("raw", _FILES) + _COUNTS,
+        "directory_size": _with("raw", _FILES) + "select corpus, num_docs from sizes",
+        "token_count_raw_java_odd": _with("raw_java", _ODD) + _TOKEN_COUNT,
+        "word_count_raw_java_odd": _with("raw_java", _ODD) + _COUNTS,
+        "word_count_clean_odd": _with("clean", _ODD) + _COUNTS,
         "key_parts": "select split(url, '/')[-1] as document, count(*) as num_pages"
         " from pages group by 1",
     }

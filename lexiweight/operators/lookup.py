@@ -5,59 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are broadcast, whatever the size of the data.
-MAX_HEAVY_KEYS = 100_000
-# Longer keys are never broadcast, so the keys of a broadcast stay below 13 MB.
-MAX_KEY_BYTES = 128
-# Ways to split a key whose table row is repeated for each of them: 2 to this power.
-SALT_BITS = 6
+# Pieces for each shuffle partition into which all rows would be cut if keys could be cut at will.
+PIECES_PER_PARTITION = 16
+
+
+def default_pieces(df: DataFrame) -> int:
+    return PIECES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
     keys: list[str],
+    weights: DataFrame,
     weight: str,
-    total_weight: DataFrame,
-    max_heavy_keys: int = MAX_HEAVY_KEYS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Inner equi-join of ``rows`` with ``table``, which is unique on ``keys``.
 
-    The column ``weight`` of ``table`` bounds the number of rows that carry its key, and
-    ``total_weight`` (one row, one column) is the sum of all weights. A key is heavy if it has
-    more than 1 / ``max_heavy_keys`` of the total. There can never be ``max_heavy_keys`` of them,
-    so their table rows are safe to broadcast, and the rows that carry them are not shuffled.
-    What is left has no heavy key and is shuffled evenly. Both halves together are the whole join.
-    """
-    values = [c for c in table.columns if c not in keys]
-    key_bytes = sum((F.octet_length(F.col(k).cast("string")) for k in keys), F.lit(0))
-    # One expression over weight and key: a test of the key alone would be pushed below the
-    # aggregation that made `table`, and the branches would no longer share its shuffle.
-    heavy_weight = F.when(key_bytes <= MAX_KEY_BYTES, F.col(weight)).otherwise(F.lit(0))
-    heavy = F.broadcast(
-        table.filter(heavy_weight > total_weight.scalar() / F.lit(max_heavy_keys)).select(
-            *keys, F.struct(*values).alias("near")
-        )
-    )
-    # An outer join and a null test, not a semi and an anti join: those would be pushed below the
-    # aggregation that made `rows`.
-    marked = rows.join(heavy, keys, "left")
-    near = marked.filter(F.col("near").isNotNull()).select(
-        *rows.columns, *(F.col("near")[v].alias(v) for v in values)
-    )
-    far = marked.filter(F.col("near").isNull()).select(*rows.columns).join(table, keys)
-    return near.unionByName(far)
-
-
-def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
-    """Inner equi-join of ``rows`` with a far shorter ``table``, unique on ``keys``.
-
-    Every table row is repeated for each salt, so a heavy key is split over as many tasks. Spark
-    broadcasts the table instead if it turns out to be below its size threshold at run time.
+    ``weights`` has the keys and a column ``weight`` that bounds the number of rows of each key. A
+    key with more than 1 / ``pieces`` of the total weight is heavy: its rows are dealt out over as
+    many salts as it has such shares, and its table row is repeated for each of them. All other
+    keys have one salt. By default there are a few pieces for each shuffle partition, so no task
+    gets much more than its share, whatever the keys.
+
+    The number of salts is looked up by a 64-bit hash of the key in a broadcast table of less than
+    ``pieces`` rows of two numbers. Keys that share a hash share their salts, on both sides, which
+    costs a little work and changes no result.
     """
-    # The top bits of a hash are never null, unlike its remainder; a null test on the salt would
-    # be pushed below the aggregation that made `rows`.
-    salted = rows.withColumn("salt", F.shiftrightunsigned(F.xxhash64(spread_by), 64 - SALT_BITS))
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(2**SALT_BITS - 1).cast("bigint"))
-    repeated = table.withColumn("salt", F.explode(salts))
-    return salted.join(repeated, [*keys, "salt"]).drop("salt")
+    pieces = pieces or default_pieces(rows)
+    key_hash = F.xxhash64(*keys).alias("key_hash")
+    share = weights.agg(F.sum(weight)).scalar() / F.lit(float(pieces))
+    heavy = weights.select(key_hash, F.ceil(F.col(weight) / share).alias("salts")).filter("salts > 1")
+    salts = F.broadcast(heavy.groupBy("key_hash").agg(F.max("salts").alias("salts")))
+    number = F.coalesce("salts", F.lit(1).cast("bigint"))
+
+    def salted(side: DataFrame, salt: Column) -> DataFrame:
+        known = side.withColumn("key_hash", F.xxhash64(*keys)).join(salts, "key_hash", "left")
+        return known.select(*side.columns, salt.alias("salt"))
+
+    others = [c for c in rows.columns if c not in keys]
+    dealt = salted(rows, F.pmod(F.xxhash64(*others), number))
+    repeated = salted(table, F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1)))
+    return dealt.join(repeated, [*keys, "salt"]).drop("salt")

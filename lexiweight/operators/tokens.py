@@ -9,12 +9,17 @@ from lexiweight.functions.text import words
 
 
 def keyed(corpus: DataFrame) -> DataFrame:
-    """Rows that name a corpus and a document.
+    """The same rows; one without a corpus or a document fails the query.
 
-    Doing this once, up front, keeps later joins from adding null filters of their own to some
-    branches of a plan but not to others, which would stop Spark from sharing a shuffle.
+    The last value tells Spark that the names are never null. Joins then need not add null
+    filters of their own to some branches of a plan but not to others, which would stop Spark from
+    sharing a shuffle.
     """
-    return corpus.filter(F.col("corpus").isNotNull() & F.col("document").isNotNull())
+    names = {
+        c: F.coalesce(c, F.raise_error(F.lit(f"a row of the corpus has no {c}")).cast("string"), F.lit(""))
+        for c in ("corpus", "document")
+    }
+    return corpus.withColumns(names)
 
 
 def single_row(num_rows: Column) -> Column:

@@ -7,48 +7,39 @@ from pyspark.sql import functions as F
 
 from lexiweight.functions.weights import icf_weight, score_weight, tf_weight
 from lexiweight.operators.counts import document_size
-from lexiweight.operators.lookup import lookup_join, salted_join
+from lexiweight.operators.lookup import lookup_join
 
 PAIR = ["corpus", "document", "word"]
 
 
-def tf_parts(counts: DataFrame, heavy_keys: bool = True) -> DataFrame:
+def tf_parts(counts: DataFrame, pieces: int | None = None) -> DataFrame:
     """``(corpus, document, word, word_count, doc_size)`` from word counts of any corpus.
 
-    Here and below, ``heavy_keys=False`` is for data so small that no key can overload a task.
+    Here and below, ``pieces`` says how finely heavy keys are split; see ``lookup_join``.
     """
     sizes = document_size(counts)
-    keys = ["corpus", "document"]
-    if heavy_keys:
-        # Occurrences stand in for rows: a document never has more distinct words than words.
-        joined = lookup_join(counts, sizes, keys, "doc_size", sizes.agg(F.sum("doc_size")))
-    else:
-        joined = counts.join(sizes, keys)
+    # Occurrences stand in for rows: a document never has more distinct words than words.
+    joined = lookup_join(counts, sizes, ["corpus", "document"], sizes, "doc_size", pieces)
     return joined.select(*PAIR, "word_count", "doc_size")
 
 
-def word_table(frequency: DataFrame, sizes: DataFrame, heavy_keys: bool = True) -> DataFrame:
+def word_table(frequency: DataFrame, sizes: DataFrame, pieces: int | None = None) -> DataFrame:
     """``(corpus, word, num_docs, num_docs_with_word)``: one row per word of a corpus.
 
-    The number of documents meets the vocabulary here, not the far longer list of pairs.
+    The number of documents meets the vocabulary here, not the far longer list of pairs. A corpus
+    is split by the size of its vocabulary.
     """
-    if heavy_keys:
-        joined = salted_join(frequency, sizes, ["corpus"], spread_by="word")
-    else:
-        joined = frequency.join(sizes, "corpus")
+    words = frequency.groupBy("corpus").agg(F.count(F.lit(1)).alias("num_words"))
+    joined = lookup_join(frequency, sizes, ["corpus"], words, "num_words", pieces)
     return joined.select("corpus", "word", "num_docs", "num_docs_with_word")
 
 
 def icf_parts(
-    counts: DataFrame, frequency: DataFrame, sizes: DataFrame, heavy_keys: bool = True
+    counts: DataFrame, frequency: DataFrame, sizes: DataFrame, pieces: int | None = None
 ) -> DataFrame:
     """``counts`` with ``num_docs`` and ``num_docs_with_word`` added to every row."""
-    table = word_table(frequency, sizes, heavy_keys)
-    keys = ["corpus", "word"]
-    if heavy_keys:
-        num_pairs = frequency.agg(F.sum("num_docs_with_word"))
-        return lookup_join(counts, table, keys, "num_docs_with_word", num_pairs)
-    return counts.join(table, keys)
+    table = word_table(frequency, sizes, pieces)
+    return lookup_join(counts, table, ["corpus", "word"], frequency, "num_docs_with_word", pieces)
 
 
 def scores(parts: DataFrame) -> DataFrame:

@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 
 from lexiweight import operators as op
 from lexiweight.sinks import write_stage, write_table
-from lexiweight.sources.stages import scan_stage
-from lexiweight.sources.tables import fits_one_task
+from lexiweight.sources.stages import scan_stage, scan_table
 
 
 def term_counts(
     corpus: DataFrame,
     profile: str = "raw",
     one_row_per_document: bool = False,
-    heavy_keys: bool = True,
+    pieces: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``tf_parts`` and ``document_frequency`` of a corpus, over one shared shuffle of the words.
 
@@ -25,7 +24,7 @@ def term_counts(
         parts = op.sized_word_count(op.sized_tokens(corpus, profile))
         return parts, op.document_frequency(parts)
     counts = op.word_count(op.tokens(corpus, profile))
-    return op.tf_parts(counts, heavy_keys), op.document_frequency(counts)
+    return op.tf_parts(counts, pieces), op.document_frequency(counts)
 
 
 def term_weights(
@@ -33,23 +32,22 @@ def term_weights(
     profile: str = "raw",
     one_row_per_document: bool = False,
     sizes: DataFrame | None = None,
-    heavy_keys: bool | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """``(corpus, document, word, tf, icf, score)``, a row per distinct word of each document.
 
     With ``one_row_per_document``, a document of several rows fails the query. ``sizes`` is
     ``(corpus, num_docs)`` for sources that yield no row for an empty document; by default the
-    documents of ``corpus`` are counted. ``heavy_keys`` says whether to handle frequent words and
-    long documents apart from the rest; by default, whenever one task could not hold the corpus.
+    documents of ``corpus`` are counted. ``pieces`` says how finely frequent words and long
+    documents are split over tasks (see ``operators.lookup_join``); the plan is the same for any
+    data.
     """
-    if heavy_keys is None:
-        heavy_keys = not fits_one_task(corpus)
     if sizes is None:
         sizes = op.corpus_size(corpus, one_row_per_document)
     elif one_row_per_document:
         corpus = op.whole_documents(corpus)
-    parts, frequency = term_counts(corpus, profile, one_row_per_document, heavy_keys)
-    return op.scores(op.icf_parts(parts, frequency, sizes, heavy_keys))
+    parts, frequency = term_counts(corpus, profile, one_row_per_document, pieces)
+    return op.scores(op.icf_parts(parts, frequency, sizes, pieces))
 
 
 def term_weights_staged(
@@ -69,16 +67,12 @@ def term_weights_staged(
     sizes = op.corpus_size(corpus) if sizes is None else sizes
 
     def stage(table: DataFrame, name: str) -> DataFrame:
-        """Write and read back; without null keys, so that joins need not add tests for them to
-        some of the branches that read the copy."""
+        """Write and read back."""
         if form == "text":
             write_stage(table, name, f"{path}/{name}")
             return scan_stage(spark, f"{path}/{name}", name)
         write_table(table, f"{path}/{name}")
-        # With its schema given, no job infers it and corpora named like numbers stay text.
-        return spark.read.schema(table.schema).parquet(f"{path}/{name}").select(*table.columns).dropna(
-            subset=["corpus", "document", "word"]
-        )
+        return scan_table(spark, f"{path}/{name}", table.schema)
 
     counts = stage(op.word_count(op.tokens(corpus, profile)), "word_count")
     parts = stage(op.tf_parts(counts), "tf_parts")

@@ -1,16 +1,14 @@
 from lexiweight.sources.files import directory_size, scan_documents, scan_lines
-from lexiweight.sources.stages import STAGES, scan_stage
-from lexiweight.sources.tables import estimated_bytes, fits_one_task, from_table, spread, union_corpora
+from lexiweight.sources.stages import STAGES, scan_stage, scan_table
+from lexiweight.sources.tables import from_table, union_corpora
 
 __all__ = [
     "STAGES",
     "directory_size",
-    "estimated_bytes",
-    "fits_one_task",
     "from_table",
     "scan_documents",
     "scan_lines",
     "scan_stage",
-    "spread",
+    "scan_table",
     "union_corpora",
 ]

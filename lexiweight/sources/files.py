@@ -1,67 +1,77 @@
-"""Corpora from directories of text files, one file per document."""
+"""Corpora from text files, one file per document."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweight.functions.text import document_id
 
+# Turns the path of a file into the id of its document.
+Naming = Callable[[Column], Column]
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """``(path)`` of every file that a directory, file or glob names, empty ones included; names that
+    start with ``.`` or ``_`` do not count. The list is that of Spark's file index, which holds the
+    names of all files that a query reads on the driver."""
+    files = spark.read.format("binaryFile").load(path).inputFiles()
+    names = spark.createDataFrame([(name,) for name in files], "name string")
+    return names.select(_decoded(F.col("name")).alias("path"))
+
 
-def _statuses(spark: SparkSession, path: str):
-    """The file system of ``path`` and what the path (a directory, file or glob) names."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return file_system, file_system.globStatus(hadoop_path) or []
+def _decoded(path: Column) -> Column:
+    """A path of file metadata is URL-encoded, but for the plus sign, which stands for itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def _num_partitions(spark: SparkSession, path: str) -> int:
     """Enough partitions to keep each at ``spark.sql.files.maxPartitionBytes`` or below."""
-    file_system, statuses = _statuses(spark, path)
-    size = sum(file_system.getContentSummary(s.getPath()).getLength() for s in statuses)
-    limit = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
-    return max(spark.sparkContext.defaultParallelism, -(-size // limit))
+    plan = spark.read.format("binaryFile").load(path)._jdf.queryExecution().optimizedPlan()
+    limit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return max(spark.sparkContext.defaultParallelism, -(-int(str(plan.stats().sizeInBytes())) // limit))
 
 
-def scan_documents(spark: SparkSession, path: str, corpus: str) -> DataFrame:
+def scan_documents(spark: SparkSession, path: str, corpus: str, naming: Naming = document_id) -> DataFrame:
     """``(corpus, document, text)``, one row per file, empty files included.
 
-    The ``text`` source drops empty files, which would falsify the number of documents, so this
-    reads with ``wholeTextFiles``. The pairs become a DataFrame inside the JVM: no row passes
-    through Python. A single file must fit in a row (2 GB); use ``scan_lines`` for larger ones.
+    The ``text`` and ``binaryFile`` sources drop empty files, which would falsify the number of
+    documents, so this reads with ``wholeTextFiles``. The pairs become a DataFrame inside the JVM: no
+    row passes through Python. A single file must fit in a row (2 GB); use ``scan_lines`` for
+    larger ones.
+
+    ``naming`` makes the document id of the path. By default it is the base name, so files of one
+    name in several directories are pieces of one document; pass ``lambda path: path`` to keep them
+    apart.
     """
-    jvm = spark._jvm
+    encoders = spark._jvm.org.apache.spark.sql.Encoders
     files = spark._jsc.wholeTextFiles(path, _num_partitions(spark, path))
-    text = jvm.org.apache.spark.sql.Encoders.STRING()
-    pairs = jvm.org.apache.spark.sql.Encoders.tuple(text, text)
+    pairs = encoders.tuple(encoders.STRING(), encoders.STRING())
     rows = DataFrame(spark._jsparkSession.createDataset(files.rdd(), pairs).toDF(), spark)
     return rows.select(
-        F.lit(corpus).alias("corpus"), document_id(F.col("_1")).alias("document"), F.col("_2").alias("text")
+        F.lit(corpus).alias("corpus"), naming(F.col("_1")).alias("document"), F.col("_2").alias("text")
     )
 
 
-def scan_lines(spark: SparkSession, path: str, corpus: str) -> DataFrame:
+def scan_lines(spark: SparkSession, path: str, corpus: str, naming: Naming = document_id) -> DataFrame:
     """``(corpus, document, text)``, one row per line; large files are read in parallel.
 
-    A file without a line yields no row: pass ``directory_size`` to the pipeline if the directory
-    may hold empty files.
+    A file without a line yields no row: pass ``directory_size`` to the pipeline if there may be
+    empty files. ``naming`` is that of ``scan_documents``.
     """
-    # File metadata is URL-encoded, but for the plus sign, which stands for itself.
-    encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
     return spark.read.text(path).select(
         F.lit(corpus).alias("corpus"),
-        F.url_decode(encoded).alias("document"),
+        naming(_decoded(F.col("_metadata.file_path"))).alias("document"),
         F.col("value").alias("text"),
     )
 
 
-def directory_size(spark: SparkSession, path: str, corpus: str) -> DataFrame:
-    """``(corpus, num_docs)``: number of files in a directory, empty ones included.
+def directory_size(spark: SparkSession, path: str, corpus: str, naming: Naming = document_id) -> DataFrame:
+    """``(corpus, num_docs)``: number of documents in the files of any path that the scans take.
 
-    Names that start with ``.`` or ``_`` do not count, as no reader opens them.
+    Spark lists the files; their names are counted in a job, and no file is opened.
     """
-    _, statuses = _statuses(spark, path.rstrip("/") + "/[^._]*")
-    return spark.range(1).select(
-        F.lit(corpus).alias("corpus"),
-        F.lit(sum(1 for s in statuses if s.isFile())).cast("bigint").alias("num_docs"),
-    )
+    documents = _listed(spark, path).select(naming(F.col("path")).alias("document")).distinct()
+    return documents.agg(F.count(F.lit(1)).alias("num_docs")).select(F.lit(corpus).alias("corpus"), "num_docs")

@@ -15,6 +15,7 @@ from lexiweight.functions import format_score
 from lexiweight.sinks import stage_lines, write_sorted_report
 from lexiweight.sources import scan_documents, scan_lines, scan_stage
 
+# The published toy texts.
 TOY = {
     "doc1": "Lorem ipsum dolor ipsum sit ipsum\n",
     "doc2": "Vituperata incorrupte at ipsum pro quo\n",
@@ -40,6 +41,7 @@ doc3@persius\t0.12637567304702957
 doc3@simul\t0.12637567304702957
 """.splitlines()
 
+# The same scores with 16 decimals.
 TOY_FIXED = {
     "0.10684910910366296": "0.1068491091036630",
     "0.1166450426074421": "0.1166450426074421",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from pathlib import Path
 
@@ -21,11 +22,15 @@ def oracle(data_dir):
     return connection
 
 
+# Those of the training-data operators, where they are installed, are tested apart.
+OWN = [name for name in queries() if name != "pipeline" and not re.match(r"op\d+_", name)]
+
+
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(OWN) <= set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query_equals_sql(spark, data_dir, oracle, name):
     ours = queries()[name](spark, data_dir).toArrow().to_pandas()
     theirs = oracle.sql(oracle_sql()[name]).arrow().read_all().to_pandas()

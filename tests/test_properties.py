@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiweight import operators as op
 from lexiweight import term_counts, term_weights, term_weights_staged
@@ -66,19 +67,40 @@ def test_documents_in_pieces(corpus):
     assert_same(as_dict(term_weights(corpus(pieces))), brute_force(rows))
 
 
-@pytest.mark.parametrize("max_heavy_keys", [0.5, 3, 20, 10**6])
+@pytest.mark.parametrize("pieces", [1, 3, 20, 10**6])
 @pytest.mark.parametrize("whole", [True, False])
-def test_any_split_of_heavy_and_light_keys(corpus, monkeypatch, max_heavy_keys, whole):
+def test_any_split_of_heavy_and_light_keys(corpus, pieces, whole):
     """The result does not depend on which keys are heavy: none, some, or all."""
-    monkeypatch.setattr(lookup.lookup_join, "__defaults__", (max_heavy_keys,))
     rows = random_rows(11, hot=True)
-    assert_same(as_dict(term_weights(corpus(rows), "raw", whole)), brute_force(rows))
-
-
-def test_long_heavy_keys_are_not_broadcast(corpus):
-    long = "x" * 1000
-    rows = [("c", f"d{i}", f"{long} w{i}") for i in range(20)] + [("c", "e", "")]
-    assert_same(as_dict(term_weights(corpus(rows))), brute_force(rows))
+    assert_same(as_dict(term_weights(corpus(rows), "raw", whole, pieces=pieces)), brute_force(rows))
+
+
+@pytest.mark.parametrize("length", [7, 200])
+def test_a_heavy_key_of_any_length_is_split_evenly(spark, length):
+    """Nine tenths of all rows carry one key; no task gets much more than its share of the rows."""
+    hot = F.when(F.col("id") % 10 > 0, F.lit("x" * length)).otherwise(F.concat(F.lit("d"), F.col("id") % 500))
+    rows = spark.range(100_000).select(hot.alias("document"), F.col("id").cast("string").alias("word"))
+    sizes = rows.groupBy("document").agg(F.count(F.lit(1)).alias("n"))
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = lookup.lookup_join(rows, sizes, ["document"], sizes, "n")
+        parts = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(parts) == 100_000 and len(parts) == 16
+    assert max(parts) < 2 * 100_000 / 16
+
+
+def test_keys_that_share_a_hash_share_their_salts(spark, monkeypatch):
+    rows = spark.range(1000).select((F.col("id") % 7).cast("string").alias("key"), "id")
+    table = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    monkeypatch.setattr(lookup.F, "xxhash64", lambda *c: F.crc32(F.lit("same")).cast("bigint"))
+    joined = lookup.lookup_join(rows, table, ["key"], table, "n", 50)
+    assert sorted(map(tuple, joined.collect())) == sorted((str(i % 7), i, 1000 // 7 + (i % 7 < 1000 % 7)) for i in range(1000))
 
 
 def test_one_document_and_one_corpus_hold_most_rows(corpus):
@@ -139,15 +161,41 @@ def test_staged_equals_in_memory(corpus, tmp_path, form):
     assert as_dict(staged) == as_dict(term_weights(documents))
 
 
-def test_null_text_counts_as_document_null_names_do_not(corpus):
-    rows = [("c", "d1", "a"), ("c", "d2", None), ("c", None, "a"), (None, "d3", "a")]
-    documents = corpus(rows)
+def test_null_text_counts_as_document(corpus):
+    documents = corpus([("c", "d1", "a"), ("c", "d2", None)])
     assert [tuple(r) for r in op.corpus_size(documents).collect()] == [("c", 2)]
     assert as_dict(term_weights(documents)) == {
         ("c", "d1", "a"): pytest.approx(math.log(2) * math.log(3 / 2))
     }
 
 
+@pytest.mark.parametrize(("name", "row"), [("document", ("c", None, "a")), ("corpus", (None, "d3", "a"))])
+def test_rows_without_a_name_fail(corpus, name, row):
+    documents = corpus([("c", "d1", "a"), row])
+    for query in (op.corpus_size(documents), op.token_count(op.tokens(documents)), term_weights(documents)):
+        with pytest.raises(Exception, match=f"has no {name}"):
+            query.collect()
+
+
+AWKWARD_NAMES = ["", "@", "@x", "__HIVE_DEFAULT_PARTITION__", "a/b", "a=b %41", "007", "é"]
+
+
+@pytest.mark.parametrize("form", ["text", "parquet"])
+def test_staged_equals_in_memory_for_any_corpus_name(corpus, tmp_path, form):
+    documents = corpus([(c, f"d {i}", f"a b w{i}") for c in AWKWARD_NAMES for i in range(3)])
+    staged = term_weights_staged(documents, str(tmp_path), form=form)
+    assert as_dict(staged) == as_dict(term_weights(documents))
+
+
+def test_staged_documents_of_any_name(corpus, tmp_path):
+    documents = corpus([("c", d, f"a {i}") for i, d in enumerate(["u@x.org", "d\t1", "a\nb", "", "@"])])
+    staged = term_weights_staged(documents, str(tmp_path / "table"))
+    assert as_dict(staged) == as_dict(term_weights(documents))
+    for name in ("u@x.org", "d\t1", "a\nb", "a\rb", "@"):
+        with pytest.raises(Exception, match="cannot hold the document name"):
+            term_weights_staged(corpus([("c", name, "a")]), str(tmp_path / "text"), form="text")
+
+
 @pytest.mark.parametrize("sizes", [True, False])
 def test_broken_promise_fails(corpus, sizes):
     documents = corpus([("c", "d", "a b"), ("c", "d", "a c")])

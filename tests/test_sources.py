@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiweight import operators as op
 from lexiweight import sinks, sources, term_weights
+from lexiweight.__main__ import weigh
 
 
 @pytest.fixture()
@@ -29,12 +30,6 @@ def test_scan_documents_runs_in_the_jvm(spark, folder):
     assert "Python" not in plan
 
 
-def test_scan_documents_fills_the_cores(spark, tmp_path):
-    for i in range(40):
-        (tmp_path / f"d{i}").write_text("a " * 1000)
-    assert sources.scan_documents(spark, str(tmp_path), "c").rdd.getNumPartitions() >= 8
-
-
 def test_scan_lines(spark, folder):
     rows = sources.scan_lines(spark, folder, "c").collect()
     assert sorted((r.corpus, r.document, r.text) for r in rows) == [
@@ -44,8 +39,42 @@ def test_scan_lines(spark, folder):
     ]
 
 
+def sizes_of(*args):
+    return [tuple(r) for r in sources.directory_size(*args).collect()]
+
+
 def test_directory_size_counts_empty_files(spark, folder):
-    assert [tuple(r) for r in sources.directory_size(spark, folder, "c").collect()] == [("c", 3)]
+    assert sizes_of(spark, folder, "c") == [("c", 3)]
+
+
+@pytest.mark.parametrize("path", ["", "/*.txt", "/one.txt", "/{one,empty}.txt", "/two*"])
+@pytest.mark.parametrize("setting", ["128m", "256MB", "4MB"])
+def test_directory_size_of_any_path_that_the_scans_take(spark, folder, path, setting):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", setting)
+    try:
+        documents = sources.scan_documents(spark, folder + path, "c")
+        assert sizes_of(spark, folder + path, "c") == [("c", documents.count())]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_directory_size_opens_no_file(spark, folder):
+    plan = sources.directory_size(spark, folder, "c")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan
+
+
+@pytest.mark.parametrize("scan", [sources.scan_documents, sources.scan_lines])
+def test_equal_names_in_several_folders(spark, tmp_path, scan):
+    for name in ("x", "y"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "doc1").write_text(f"a {name}")
+    path = f"{tmp_path}/*/*"
+    assert {r.document for r in scan(spark, path, "c").collect()} == {"doc1"}
+    assert sizes_of(spark, path, "c") == [("c", 1)]
+    whole = lambda p: p
+    assert len({r.document for r in scan(spark, path, "c", whole).collect()}) == 2
+    assert sizes_of(spark, path, "c", whole) == [("c", 2)]
 
 
 @pytest.mark.parametrize("whole", [True, False])
@@ -68,19 +97,6 @@ def test_from_table_and_union(spark):
     )
 
 
-def test_spread_only_small_input(spark, data_dir):
-    table = spark.read.parquet(f"{data_dir}/documents.parquet")
-    small = sources.spread(sources.from_table(table, "doc_id", "text", "lang"))
-    assert "Repartition" in small._jdf.queryExecution().optimizedPlan().toString()
-    before = spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1")
-    try:
-        large = sources.spread(sources.from_table(table, "doc_id", "text", "lang"))
-        assert "Repartition" not in large._jdf.queryExecution().optimizedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.files.openCostInBytes", before)
-
-
 AWKWARD = [
     ("007", "d1", "a@b foo@ @ @@ x/y p=q 3/7 \"quoted 'single \\back é"),
     ("007", "d2", "a@b   x"),
@@ -96,6 +112,7 @@ def test_stage_roundtrip(spark, corpus, tmp_path, stage):
     table = {
         "word_count": lambda: counts,
         "tf_parts": lambda: op.tf_parts(counts),
+        "icf_parts": lambda: op.icf_parts(counts, op.document_frequency(counts), op.corpus_size(documents)).select("corpus", "document", "word", "num_docs", "num_docs_with_word"),
         "scores": lambda: term_weights(documents).drop("tf", "icf"),
     }[stage]()
     path = str(tmp_path / "stage")
@@ -122,3 +139,37 @@ def test_report_is_sorted_by_the_whole_key(spark, corpus, tmp_path):
         keys = [line.split(b"\t")[0] for line in lines]
         assert keys == sorted(keys) and len(keys) == rows
     assert any(k.startswith(b"doc1") for k in keys)
+
+
+@pytest.mark.parametrize("write", ["stage", "table"])
+def test_number_of_files_follows_the_data(spark, corpus, tmp_path, write):
+    rows = [(f"c{i % 50}", f"d{i}", f"w{i}") for i in range(2000)]
+    counts = op.word_count(op.tokens(corpus(rows).repartition(4)))
+    path = str(tmp_path / "out")
+    sinks.write_stage(counts, "word_count", path) if write == "stage" else sinks.write_table(counts, path)
+    files = list((tmp_path / "out").glob("corpus=*/part-*"))
+    assert 50 <= len(files) <= 60
+
+
+@pytest.mark.parametrize(
+    ("stage", "line"),
+    [("word_count", "foo\t3"), ("word_count", "a@d\tx"), ("word_count", "a@d"), ("word_count", "a@d\t1\t2"), ("word_count", ""), ("tf_parts", "a@d\t1/2/3"), ("tf_parts", "a@d\t1"), ("icf_parts", "a@d\t/2"), ("scores", "d@a\tone")],
+)
+def test_malformed_lines_fail(spark, tmp_path, stage, line):
+    (tmp_path / "part").write_text(line + "\n")
+    with pytest.raises(Exception, match="not a line of this stage"):
+        sources.scan_stage(spark, str(tmp_path), stage, "c").collect()
+
+
+def test_launcher(spark, tmp_path):
+    for name, texts in (("songs", ["a b", "", "b"]), ("mails", ["x"])):
+        (tmp_path / name).mkdir()
+        for i, text in enumerate(texts):
+            (tmp_path / name / f"d{i}").write_text(text)
+    weigh(spark, [str(tmp_path / "songs"), str(tmp_path / "mails/")], str(tmp_path / "out"), "raw", "shortest")
+    found = sources.scan_stage(spark, str(tmp_path / "out"), "scores").collect()
+    rows = [(c, f"d{i}", t) for c, ts in (("songs", ["a b", "", "b"]), ("mails", ["x"])) for i, t in enumerate(ts)]
+    expected = term_weights(spark.createDataFrame(rows, "corpus string, document string, text string"))
+    assert sorted(found) == sorted(expected.drop("tf", "icf").collect())
+    with pytest.raises(ValueError, match="different"):
+        weigh(spark, ["a/x", "b/x"], "out", "raw", "shortest")

@@ -21,6 +21,7 @@ CASES = [
         ["Don't", "2nd", "b-52", "Été", "(x)", "[y]"],
         ["dont", "b-52", "x"],
     ),
+    ("1a\u2028def 1\u2029def \u0085x a\u20281b ~\u0085é", None, None, ["\u2028def", "a\u20281b"]),
     ("end] aquí 123 1a {z} ~q ... a/b", None, None, ["end]", "aquí", "z", "a/b"]),
     ("\x01a\x02 \x03", ["\x01a\x02", "\x03"], ["a", ""], []),
     (None, None, None, None),
@@ -53,7 +54,7 @@ def test_short_cleaner_equals_the_steps(spark):
     one_by_one = F.filter(
         F.transform(
             lf.split_whitespace(F.lower("text")),
-            lambda w: lf.blank_nonalpha_start(lf.strip_punctuation(w)),
+            lambda w: F.regexp_replace(lf.strip_punctuation(w), "^[^a-z]+.*", ""),
         ),
         lambda w: (w != "") & ~w.rlike("^[0-9]+$"),
     )
