@@ -1,0 +1,128 @@
+"""The two classifiers: held-out accuracy, and what they do with odd rows."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lexiweight.llm import quality, toxicity
+from lexiweight.llm import words as W
+from lexiweight.llm.labelled import held_out, sample
+from lexiweight.llm.queries import GOOD_FROM, TOXIC_FROM
+
+DOCS, LABELS = "doc_id bigint, text string, score string, row int", "doc_id bigint, quality int, toxic int"
+
+
+def is_held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def auc(labels, scores):
+    good, bad = scores[labels == 1], scores[labels == 0]
+    return (good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean()
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioustnr") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(500):
+        text = [rng.choice(words) for _ in range(rng.randint(20, 120))]
+        bad, toxic = i % 4 == 0, i % 3 == 0
+        if bad:
+            text = [w + rng.choice(["***", "%%%"]) for w in text] if i % 8 else [text[0]] * len(text)
+        if toxic:
+            text[rng.randrange(len(text))] = rng.choice(["Grumblewort", "snarkle"])
+        docs.append((i, " ".join(text), "clash", 1))
+        labels.append((i, int(not bad), int(toxic)))
+    return spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+
+
+@pytest.mark.parametrize(("module", "label", "threshold"), [(quality, "quality", GOOD_FROM), (toxicity, "toxic", TOXIC_FROM)])
+def test_held_out_accuracy(labelled, module, label, threshold):
+    docs, labels = labelled
+    scored = module.score(docs, module.fit(docs, labels, label), ["doc_id"])
+    rows = scored.select("row.doc_id", "score").join(labels, "doc_id").filter(held_out(F.col("doc_id"))).collect()
+    truth, scores = np.array([r[label] for r in rows]), np.array([r.score for r in rows])
+    assert ((scores >= 0) & (scores <= 1)).all()
+    assert auc(truth, scores) > 0.97
+    assert ((scores >= threshold) == truth).mean() > 0.9
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_held_out_labels_are_not_learned(spark, labelled, module):
+    docs, labels = labelled
+    label = "quality" if module is quality else "toxic"
+    other = labels.withColumn(label, F.when(held_out(F.col("doc_id")), 1 - F.col(label)).otherwise(F.col(label)))
+    a, b = (module.score(docs, module.fit(docs, x, label), ["doc_id"]).select("row.doc_id", "score") for x in (labels, other))
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert [r.h for r in spark.range(50).select(held_out(F.col("id")).alias("h")).collect()] == [is_held_out(i) for i in range(50)]
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_odd_rows_get_scores(spark, labelled, module):
+    docs, labels = labelled
+    model = module.fit(docs, labels)
+    rows = [(1, None, "x", 1), (None, "", "x", 2), (2, " \n", "x", 3), (2, " \n", "x", 3), (3, "é" * 300_000, "x", 4), (4, "a " * 100_000, "x", 5)]
+    scored = module.score(spark.createDataFrame(rows, DOCS), model).collect()
+    assert len(scored) == len(rows)
+    assert all(0 <= r.score <= 1 for r in scored)
+    assert sorted((tuple(r.row) for r in scored), key=str) == sorted(rows, key=str)
+    empty = {r.score for r in scored if not (r.row.text or "").strip()}
+    assert len(empty) == 1
+    assert module.score(spark.createDataFrame([], DOCS), model).collect() == []
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+@pytest.mark.parametrize("given", [[], [(1, 1, 1)], [(1, None, None), (None, 0, 0)]])
+def test_few_or_no_labels(spark, module, given):
+    docs = spark.createDataFrame([(1, "a b", "", 0), (2, None, "", 0)], DOCS)
+    scored = module.score(docs, module.fit(docs, spark.createDataFrame(given, LABELS))).collect()
+    assert len(scored) == 2 and all(0 <= r.score <= 1 for r in scored)
+
+
+def test_sample_is_bounded(labelled):
+    docs, labels = labelled
+    found = sample(docs.unionByName(docs), labels.unionByName(labels), "quality", 30).collect()
+    assert len(found) == 60 and not any(is_held_out(r.doc_id) for r in found)
+    assert sum(r.label for r in found) == 30
+
+
+def test_vote_is_the_weighted_mean_of_the_nearest():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "e1", "F!"], 12)) for _ in range(40)]
+    (block,) = W.blocks(pa.array(texts))
+    counts = quality.term_counts(block)
+    space = quality.Space(np.ones(quality.TERMS, np.float32), rng.standard_normal((quality.TERMS, 8)).astype(np.float32), np.zeros((0, 8)), rng.integers(0, 2, 30).astype(float))
+    space.vectors = space.place(counts[:30].copy())
+    votes = space.vote(counts.copy(), neighbours=7)
+    places = space.place(counts.copy()).astype(float)
+    for place, vote in zip(places, votes, strict=True):
+        cosine = space.vectors.astype(float) @ place
+        best = np.argsort(-cosine)[:7]
+        weight = np.maximum(cosine[best], 0)
+        assert vote == pytest.approx((weight * space.labels[best]).sum() / weight.sum(), abs=1e-3)
+
+
+def test_shape_terms_see_repetition_case_and_marks():
+    (block,) = W.blocks(pa.array(["ab cd", "ef gh", "ef ef", "AB CD", "ab! cd!"]))
+    shapes = quality.term_counts(block)[:, quality.WORD_TERMS :]
+    assert (shapes[0] == shapes[1]).all()
+    assert len({tuple(np.flatnonzero(s)) for s in shapes}) == 4
+
+
+def test_grams_stay_within_their_text():
+    (block,) = W.blocks(pa.array(["Ab", "", "ab\n", "b"]))
+    grams = [{} for _ in range(4)]
+    for codes, rows in toxicity._grams(block):
+        for code, row in zip(codes.tolist(), rows.tolist(), strict=True):
+            grams[row][code] = grams[row].get(code, 0) + 1
+    # Texts get a blank on either side: 'ab ' of the third has one more, all else is equal.
+    assert set(grams[0]) <= set(grams[2])
+    assert [sum(g.values()) for g in grams] == [3, 0, 6, 1]

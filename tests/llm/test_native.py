@@ -1,0 +1,160 @@
+"""Sharding and mixing, which are plain DataFrame operations."""
+
+from __future__ import annotations
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexiweight.llm import mixing, sharding
+from lexiweight.llm.queries import mixing_sql, sharding_sql
+
+SCHEMA = "doc_id bigint, text string, source string, copy string, shard int"
+duckdb = pytest.importorskip("duckdb")
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(d, t, s, "clash", 7) for d, t, s in rows], SCHEMA)
+
+
+def random_rows(seed, n=400):
+    rng = random.Random(seed)
+    return [(i, "é" * rng.randint(0, 60), rng.choice(["a"] * 6 + ["b", "c", None, ""])) for i in range(n)]
+
+
+def in_duckdb(rows, sql):
+    import pandas as pd
+
+    connection = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["doc_id", "text", "source"])
+    connection.register("given", frame)
+    connection.execute("create view documents as select doc_id::bigint as doc_id, text, source from given")
+    return connection.sql(sql).fetchall()
+
+
+@pytest.mark.parametrize("limit", [1, 130, 1000, 10**6])
+def test_shards_equal_sql(spark, limit):
+    rows = random_rows(limit)
+    found = sharding.assign_shards(documents(spark, rows), limit).drop("row")
+    assert sorted(map(tuple, found.collect())) == sorted(in_duckdb(rows, sharding_sql(limit)))
+
+
+@pytest.mark.parametrize("step", [1, 3, 12])
+def test_directory_rules(spark, monkeypatch, step):
+    """Every row has one shard, shards fit, none is a prefix of another, and two halves that would
+    fit together were never split."""
+    monkeypatch.setattr(sharding, "STEP", step)
+    rows = random_rows(step, 200)
+    found = sharding.assign_shards(documents(spark, rows), 500, carry=["shard", "copy"]).collect()
+    assert sorted(r.doc_id for r in found) == [d for d, _, _ in rows]
+    assert all(r.row.shard == 7 and r.row.copy == "clash" for r in found)
+    size, count = Counter(), Counter()
+    for r in found:
+        size[r.shard] += r.bytes
+        count[r.shard] += 1
+        assert len(r.shard) == r.depth
+    assert all(size[r.shard] == r.shard_bytes for r in found)
+    assert all(n <= 500 or count[s] == 1 for s, n in size.items())
+    above = Counter()
+    for s, n in size.items():
+        for d in range(len(s)):
+            above[s[:d]] += n
+    assert not set(above) & set(size)
+    assert all(above[s[:-1]] > 500 for s in size if s)
+
+
+def test_repeated_rows_are_split_by_their_place(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STEP", 30)
+    rows = [(1, "x" * 10, "a")] * 100 + [(2, None, "a")] * 3 + [(None, "y" * 700, "a"), (3, "", None)]
+    found = sharding.assign_shards(documents(spark, rows), 50).collect()
+    assert Counter(r.doc_id for r in found) == Counter(d for d, _, _ in rows)
+    size = Counter()
+    for r in found:
+        size[r.shard] += r.bytes
+    assert all(n <= 50 or n == 700 for n in size.values())
+    assert sharding.assign_shards(documents(spark, []), 50).collect() == []
+
+
+def test_written_shards(spark, tmp_path):
+    rows = random_rows(9, 100)
+    for limit, least in ((300, 5), (10**9, 1)):
+        path = str(tmp_path / str(limit))
+        sharding.write_shards(documents(spark, rows), path, limit)
+        back = spark.read.schema("doc_id bigint, text string, source string, copy string, shard string").parquet(path)
+        assert sorted(r.doc_id for r in back.collect()) == [d for d, _, _ in rows]
+        assert back.select("shard").distinct().count() >= least
+
+
+WEIGHTS = {"a": 2.0, "b": 1.0, "": 1.0}
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_mixing_equals_sql(spark, seed):
+    rows = random_rows(seed + 20)
+    found = mixing.mix(documents(spark, rows), WEIGHTS, seed=seed)
+    assert found.columns == ["doc_id", "text", "source", "shard", "copy"]
+    ours = Counter((r.doc_id, r.text, r.source or None, r.copy) for r in found.collect())
+    theirs = Counter((d, t, s or None, c) for d, t, s, c in in_duckdb(rows, mixing_sql(WEIGHTS, seed)))
+    assert ours == theirs
+
+
+def test_sources_meet_their_targets(spark):
+    rng = random.Random(1)
+    rows = [(i, "x" * rng.randint(50, 150), "a" if i % 10 else "b") for i in range(4000)]
+    for epochs in (1.0, 2.5):
+        found = mixing.mix(documents(spark, rows), {"a": 1.0, "b": 3.0}, epochs).collect()
+        size = defaultdict(int)
+        for r in found:
+            size[r.source] += len(r.text)
+        total = sum(len(t) for _, t, _ in rows) * epochs
+        assert size["b"] / total == pytest.approx(0.75, rel=0.05)
+        assert size["a"] / total == pytest.approx(0.25, rel=0.1)
+
+
+@pytest.mark.parametrize("mean", [0.2, 3.0, 200.0, 1500.0])
+def test_numbers_are_poisson(spark, mean):
+    n = 2000
+    rows = [(i, "x", "a") for i in range(n)] + [(n + i, "y" * round(n * mean), "b") for i in range(1)]
+    total = n + round(n * mean)
+    weight = n * mean / total
+    found = mixing.mix(documents(spark, rows), {"a": weight, "b": 1 - weight} if weight < 1 else {"a": 1.0})
+    counts = Counter(r.doc_id for r in found.filter("source = 'a'").select("doc_id").collect())
+    drawn = [counts[i] for i in range(n)]
+    average = sum(drawn) / n
+    spread = sum((c - average) ** 2 for c in drawn) / n
+    assert average == pytest.approx(mean, abs=4 * math.sqrt(mean / n))
+    assert spread == pytest.approx(mean, rel=0.2)
+
+
+def test_order_is_shuffled(spark):
+    rows = [(i, "x", "a" if i < 500 else "b") for i in range(1000)]
+    found = [r.doc_id for r in mixing.mix(documents(spark, rows), {"a": 1.0, "b": 1.0}, 3.0).collect()]
+    steps = sum(abs(a - b) for a, b in zip(found, found[1:], strict=False)) / len(found)
+    assert steps == pytest.approx(1000 / 3, rel=0.1)
+
+
+def test_odd_rows(spark):
+    rows = [(None, "abc", "a"), (1, None, "a"), (2, "", "b"), (2, "", "b"), (3, "x" * 1_000_000, None), (4, "y", "never listed"), (5, "z", "")]
+    found = mixing.mix(documents(spark, rows), WEIGHTS, 20.0).collect()
+    assert Counter(r.doc_id for r in found)[2] % 2 == 0
+    assert {r.doc_id for r in found} >= {1, 2, 3}
+    assert mixing.mix(documents(spark, []), WEIGHTS).collect() == []
+    none = mixing.mix(documents(spark, rows), {"a": 1.0}).collect()
+    assert {r.source for r in none} <= {"a"}
+
+
+@pytest.mark.parametrize("weights", [{}, {"a": 0.0}, {"a": -1.0, "b": 2.0}, {"a": math.nan}, {"a": math.inf}])
+def test_bad_weights_are_refused(spark, weights):
+    with pytest.raises(ValueError, match="weights"):
+        mixing.mix(documents(spark, []), weights)
+
+
+def test_no_python_on_the_main_path(spark):
+    docs = documents(spark, random_rows(1, 50))
+    for df in (mixing.mix(docs, WEIGHTS), sharding.assign_shards(docs, 500)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    assert mixing.uniform(F.lit(1)) is not None
