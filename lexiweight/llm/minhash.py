@@ -79,12 +79,18 @@ class Frequencies:
     than the share ``RARE``, up to which all shingles weigh the same.
     """
 
+    counts: np.ndarray
     tables: np.ndarray
 
     def weight(self, found: Shingles) -> np.ndarray:
         a, b = _places(found.key)
         return found.count * np.maximum(self.tables[0][a], self.tables[1][b])
 
+    def documents(self, found: Shingles) -> np.ndarray:
+        """About how many documents hold each shingle."""
+        a, b = _places(found.key)
+        return np.minimum(self.counts[0][a], self.counts[1][b])
+
 
 def document_frequencies(texts: DataFrame, rare: float = RARE) -> Frequencies:
     """Count all documents: 2 x COUNTERS sums come to the driver, as a fixed number of slices."""
@@ -122,7 +128,7 @@ def document_frequencies(texts: DataFrame, rare: float = RARE) -> Frequencies:
     for s in slices:
         counts[:, s["slice"] * width : (s["slice"] + 1) * width] = np.frombuffer(s["counts"], np.int64).reshape(2, width)
     share = np.clip(counts / total, rare, 1)
-    return Frequencies((1 - np.log(share)).astype(np.float32))
+    return Frequencies(np.minimum(counts, 2**31 - 1).astype(np.int32), (1 - np.log(share)).astype(np.float32))
 
 
 _SLICES = pa.schema([("slice", pa.int32()), ("documents", pa.int64()), ("counts", pa.binary())])
@@ -192,27 +198,24 @@ def _signed(frequencies):
 def _similarity(frequencies):
     """Weighted Jaccard similarity of the texts of each pair."""
 
-    def vectors(column: pa.Array, ids: list[int], known: dict) -> None:
-        for block in W.blocks(column):
+    def vectors(texts: list[str], known: dict) -> None:
+        for block in W.blocks(pa.array(texts, pa.string())):
             found = shingles(block)
             weight = frequencies.value.weight(found)
             edges = np.searchsorted(found.doc, np.arange(len(block.rows) + 1))
             for i, row in enumerate(block.rows):
                 own = slice(edges[i], edges[i + 1])
-                known[ids[row]] = found.key[own], weight[own], weight[own].sum()
+                known[texts[row]] = found.key[own], weight[own], weight[own].sum()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                known: dict[int, tuple] = {}
-                for side in ("a", "b"):
-                    ids = np.array(part.column(side))
-                    new, first = np.unique(ids, return_index=True)
-                    first = first[[i not in known for i in new.tolist()]]
-                    vectors(part.column(f"text_{side}").take(pa.array(first)), ids[first].tolist(), known)
+                known: dict[str, tuple] = {}
+                sides = [part.column(c).to_pylist() for c in ("text_a", "text_b")]
+                vectors(list(dict.fromkeys(sides[0] + sides[1])), known)
                 values = []
-                for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
+                for a, b in zip(*sides, strict=True):
                     (x, v, v_sum), (y, w, w_sum) = known[a], known[b]
                     at = np.searchsorted(y, x)
                     at[at == len(y)] = 0
@@ -232,58 +235,172 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-class _Pairs:
-    """Candidate pairs of different texts and their similarity."""
-
-    def __init__(self, members: DataFrame, texts: DataFrame, frequencies, similarity: float) -> None:
-        self.members, self.texts, self.frequencies, self.similarity = members, texts, frequencies, similarity
-        self.known: DataFrame | None = None
-
-    def test(self, pairs: DataFrame) -> bool:
-        """Compare the pairs (a, b), a < b, that are new; false if there are none."""
-        # The smaller total weight over the larger one bounds the similarity.
-        size = self.members.select("rep", "weight").distinct()
-        new = pairs.distinct()
-        if self.known is not None:
-            new = new.join(self.known, ["a", "b"], "left_anti")
-        new = new.join(size.toDF("a", "weight_a"), "a").join(size.toDF("b", "weight_b"), "b")
-        bound = F.least("weight_a", "weight_b") / F.greatest("weight_a", "weight_b")
-        new = saved(new.filter(bound >= self.similarity - 1e-9).select("a", "b"), "pairs")
-        if new.isEmpty():
-            return False
-        rows = new.join(self.texts.toDF("b", "text_b"), "b").join(self.texts.toDF("a", "text_a"), "a")
-        result = "a bigint, b bigint, similarity double"
-        measured = saved(rows.mapInArrow(_similarity(self.frequencies), result), "similarities")
-        self.known = measured if self.known is None else self.known.unionByName(measured)
-        return True
-
-    def classes(self) -> DataFrame:
-        """``(rep, class)`` of all texts with a link."""
-        links = self.known.filter(F.col("similarity") >= self.similarity).select("a", "b")
-        return components(links).toDF("rep", "class")
+# Ratio of the sizes between which texts count as equally large.
+_SIZE_STEP = 1.04
+
+
+def _prefixes(frequencies, similarity: float):
+    """The rare shingles of each text of which any similar text must have one.
+
+    Shingles are put in one order, from rare to frequent. If x and y have no shingle in common before
+    some place in either, their overlap is at most the weight that follows there; but texts of the
+    given similarity t overlap by t / (1 + t) * (|x| + |y|). So only shingles with that much weight
+    from them on can be the first common one. A text is listed with those that count for partners
+    of its own size or more, and looks up, for each smaller size, those that count for that size.
+    """
+    part = similarity / (1 + similarity)
+
+    def size_class(size: float) -> int:
+        return int(np.floor(np.log(size) / np.log(_SIZE_STEP)))
+
+    def rows_of(rep: int, own_class: int, found: Shingles, weight: np.ndarray, order: np.ndarray) -> Iterator[dict]:
+        key, weight = found.key[order], weight[order]
+        size = weight.sum()
+        rest = np.cumsum(weight[::-1])[::-1]
+
+        def listed(needed: float, level: int, probe: bool) -> dict:
+            n = int((rest >= needed - 1e-6 * size).sum())
+            common = {"rep": rep, "class": own_class, "size": float(size), "level": level, "probe": probe}
+            return common | {"keys": key[:n].view(np.int64), "rest": rest[:n].astype(np.float64)}
+
+        yield listed(2 * part * size, size_class(size), False)
+        for level in range(size_class(similarity * size * (1 - 1e-6)), size_class(size) + 1):
+            yield listed(part * (size + _SIZE_STEP**level), level, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, classes = batch.column("rep").to_pylist(), batch.column("class").to_pylist()
+            for block in W.blocks(batch.column("text")):
+                found = shingles(block)
+                weight = frequencies.value.weight(found).astype(np.float64)
+                order = np.lexsort((found.key, frequencies.value.documents(found), found.doc))
+                edges = np.searchsorted(found.doc, np.arange(len(block.rows) + 1))
+                rows = []
+                for i, row in enumerate(block.rows):
+                    own = order[edges[i] : edges[i + 1]]
+                    rows += rows_of(reps[row], classes[row], found, weight, own) if len(own) else []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_PREFIX_ARROW)
+
+    return run
+
+
+_PREFIX = "rep bigint, class bigint, size double, level int, probe boolean, keys array<bigint>, rest array<double>"
+_PREFIX_ARROW = pa.schema(
+    [
+        ("rep", pa.int64()),
+        ("class", pa.int64()),
+        ("size", pa.float64()),
+        ("level", pa.int32()),
+        ("probe", pa.bool_()),
+        ("keys", pa.list_(pa.int64())),
+        ("rest", pa.list_(pa.float64())),
+    ]
+)
+
+
+def _between_classes(texts: DataFrame, frequencies, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts in different classes that may be similar; all others can't be.
+
+    ``texts`` is (rep, class, text). Of texts that share a rare shingle, those of the most frequent
+    class are not joined with each other, so a large class costs no more than its rows.
+    """
+    rows = saved(texts.mapInArrow(_prefixes(frequencies, similarity), _PREFIX), "prefixes")
+    rows = rows.select("rep", "class", "size", "level", "probe", F.explode(F.arrays_zip("keys", "rest")).alias("at"))
+    rows = rows.select("rep", "class", "size", "level", "probe", F.col("at.keys").alias("key"), F.col("at.rest").alias("rest"))
+    held, asked = rows.filter("not probe").drop("probe"), rows.filter("probe").drop("probe")
+    place = ["key", "level"]
+    sizes = held.groupBy(*place, "class").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy(*place).agg(F.max_by("class", "n").alias("main"), F.count(F.lit(1)).alias("classes"))
+    held = held.join(main.drop("classes"), place).withColumn("other", F.col("class") != F.col("main"))
+    asked = asked.join(main, place).filter((F.col("classes") > 1) | (F.col("class") != F.col("main")))
+    kinds = F.when(F.col("class") == F.col("main"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    asked = asked.withColumn("other", F.explode(kinds)).drop("main", "classes")
+    left = asked.toDF(*(c if c in (*place, "other") else f"{c}_x" for c in asked.columns))
+    right = held.drop("main").toDF(*(c if c in (*place, "other") else f"{c}_y" for c in held.drop("main").columns))
+    needed = similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) * (1 - 1e-6)
+    smaller = (F.col("size_y") < F.col("size_x")) | ((F.col("size_y") == F.col("size_x")) & (F.col("rep_y") < F.col("rep_x")))
+    both = left.join(right, [*place, "other"]).filter(
+        (F.col("class_x") != F.col("class_y")) & smaller & (F.least("rest_x", "rest_y") >= needed)
+    )
+    return both.select(*_ordered("rep_x", "rep_y"))
+
+
+def _measured(pairs: DataFrame, members: DataFrame, texts: DataFrame, frequencies, similarity: float) -> DataFrame:
+    """``(a, b, similarity)`` of different pairs (a, b), a < b, but for those that the weights of
+    the texts rule out: the smaller over the larger one bounds the similarity."""
+    size = members.select("rep", "weight").distinct()
+    new = pairs.distinct().join(size.toDF("a", "weight_a"), "a").join(size.toDF("b", "weight_b"), "b")
+    bound = F.least("weight_a", "weight_b") / F.greatest("weight_a", "weight_b")
+    new = saved(new.filter(bound >= similarity - 1e-6).select("a", "b").distinct(), "pairs")
+    rows = new.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    return saved(rows.mapInArrow(_similarity(frequencies), "a bigint, b bigint, similarity double"), "similarities")
 
 
 def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _classes(reps: DataFrame, texts: DataFrame, frequencies, similarity: float) -> DataFrame:
+    """``(rep, class)`` of all different texts that are linked to another one."""
+    banded = reps.select("doc_id", "weight", F.posexplode("bands").alias("number", "key"))
+    banded = banded.select(F.col("doc_id").alias("rep"), "weight", F.xxhash64("number", "key").alias("band"))
+    groups = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = saved(banded.join(groups, "band"), "members")
+    # The hub of a band is the text that shares its bands with most others: the one that the others
+    # were made from, if there is one.
+    central = members.groupBy("rep").agg(F.sum("n").alias("neighbours"))
+    placed = members.join(central, "rep")
+    hubs = placed.groupBy("band").agg(F.max_by("rep", F.struct("neighbours", -F.col("rep"))).alias("hub"))
+    listed = _few(members.select(F.col("rep").alias("doc_id")).distinct())
+    own = texts.join(listed, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    own = saved(own.dropDuplicates(["rep", "text"]), "texts")
+
+    starred = members.select("band", "rep").join(hubs, "band").filter("rep <> hub")
+    known = _measured(starred.select(*_ordered("rep", "hub")), members, own, frequencies, similarity)
+    links = known.filter(F.col("similarity") >= similarity).select("a", "b")
+    classes = saved(components(links).toDF("rep", "class"), "classes")
+
+    classed = members.select("band", "rep").join(classes, "rep", "left")
+    classed = classed.select("band", "rep", F.coalesce("class", "rep").alias("class"))
+    spread = classed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    mixed = classed.join(spread.filter("low < high").select("band"), "band").select("rep", "class").distinct()
+    between = _between_classes(own.join(mixed, "rep").select("rep", "class", "text"), frequencies, similarity)
+    more = _measured(between, members, own, frequencies, similarity)
+    more = more.filter(F.col("similarity") >= similarity)
+    if more.isEmpty():
+        return classes
+    # The classes that these pairs link become one; a text without a class so far stands for itself.
+    for side in ("a", "b"):
+        more = more.join(classes.toDF(side, f"class_{side}"), side, "left")
+    merged = more.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b"))
+    merged = components(merged).toDF("old", "new")
+    renamed = classes.join(merged.withColumnRenamed("old", "class"), "class", "left")
+    renamed = renamed.select("rep", F.coalesce("new", "class").alias("class"))
+    first = merged.toDF("rep", "class").join(classes.select("rep"), "rep", "left_anti")
+    return renamed.unionByName(first)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, class_id, kept)``: a row for each row of ``docs`` with the class of its near-copies.
 
     Texts are multisets of shingles, weighted by their number and by 1 - ln(share of documents
     that hold them), the share counted from ``RARE`` up. Two texts are linked if they share a band
-    of samples and their weighted Jaccard similarity is ``similarity`` or more; a class holds all
-    texts that links connect, and is named by its smallest ``doc_id``, the one document kept.
+    of samples, or lie in mixed bands as below, and their weighted Jaccard similarity is
+    ``similarity`` or more; a class holds all texts that links connect, and is named by its
+    smallest ``doc_id``, the one document kept.
 
     Equal word sequences are one text from the start. Within a band, every text is compared with
-    the band's smallest one first, and not all with all. Texts in different classes by then are
-    compared with one text of each other class of the band, until nothing changes; the pairs left
-    over are compared unless the triangle inequality of the Jaccard distance rules them out. So
-    no link between classes is lost, and large groups of near-copies take a pass over their rows.
+    the most central one, and not all with all. Where that leaves texts of one band in different
+    classes, all pairs between classes that can be similar are compared: those that have a
+    rare shingle in common, early enough in either for the rest to reach the overlap that the
+    similarity takes. So no link between classes is lost, and a large group of near-copies takes a
+    pass over its rows.
 
     Rows without ``doc_id`` or without a word are compared with nothing and kept, with their own
     id as class. Repeated rows fall into one class and are all marked kept if their id is its
-    smallest; see ``drop_near_duplicates``. Other columns are ignored.
+    smallest; see ``drop_near_duplicates``. Different texts under one id are one document, which is
+    linked to whatever one of them is linked to. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -295,24 +412,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     prints = ["print1", "print2"]
     copies = saved(signed.groupBy(*prints).agg(F.min("doc_id").alias("rep")), "copies")
     reps = signed.join(copies.select(F.col("rep").alias("doc_id"), *prints), ["doc_id", *prints])
-    reps = reps.dropDuplicates(["doc_id"])
-
-    banded = reps.select("doc_id", "weight", F.posexplode("bands").alias("number", "key"))
-    banded = banded.select(F.col("doc_id").alias("rep"), "weight", F.xxhash64("number", "key").alias("band"))
-    groups = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = saved(banded.join(groups.select("band", "hub"), "band"), "members")
-    listed = _few(members.select(F.col("rep").alias("doc_id")).distinct())
-    own = texts.join(listed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pairs = _Pairs(members, saved(own.select("doc_id", "text"), "texts"), frequencies, similarity)
-
-    result = None
-    if pairs.test(members.filter("rep > hub").select(*_ordered("rep", "hub"))):
-        result = saved(_settle(pairs), "classes")
-    classed = signed.select("doc_id", *prints).join(copies, prints)
-    if result is not None:
-        classed = classed.join(result, "rep", "left")
-    else:
-        classed = classed.withColumn("class", F.lit(None).cast("bigint"))
+    reps = reps.dropDuplicates(["doc_id", *prints])
+    classes = saved(_classes(reps, texts, frequencies, similarity), "classes")
+    classed = signed.select("doc_id", *prints).join(copies, prints).join(classes, "rep", "left")
     classed = classed.select("doc_id", F.coalesce("class", "rep").alias("class_id"))
     alone = everything.filter(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     alone = alone.select("doc_id", F.col("doc_id").alias("class_id"))
@@ -320,43 +422,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
-def _settle(pairs: _Pairs) -> DataFrame:
-    """Compare texts of a band across classes until no link can be missing."""
-    while True:
-        classes = pairs.classes()
-        classed = pairs.members.join(classes, "rep", "left").select(
-            "band", "rep", F.coalesce("class", "rep").alias("class")
-        )
-        spread = classed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-        mixed = saved(classed.join(spread.filter("low < high").select("band"), "band"), "mixed")
-        if mixed.isEmpty():
-            return classes
-        hubs = mixed.groupBy("band", "class").agg(F.min("rep").alias("hub")).toDF("band", "other", "hub")
-        across = mixed.join(hubs, "band").filter("class <> other")
-        if not pairs.test(across.select(*_ordered("rep", "hub"))):
-            break
-    # Distance of every text to the hubs of its band; own class included.
-    near = F.lit(1 - pairs.similarity + 1e-9)
-    pairs.test(mixed.join(hubs, "band").filter("class = other and rep <> hub").select(*_ordered("rep", "hub")))
-    known = pairs.known.select("a", "b", (1 - F.col("similarity")).alias("distance"))
-    known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    to_hub = mixed.join(hubs, "band").join(
-        known.toDF("rep", "hub", "distance"), ["rep", "hub"], "left"
-    ).withColumn("distance", F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(F.col("distance")))
-    # A pair that the weights rule out has no distance; it is farther than `near`.
-    to_hub = saved(to_hub, "hubs")
-    reach = to_hub.filter("class = other").groupBy("band", "other").agg(F.max("distance").alias("reach"))
-    maybe = to_hub.filter("class <> other").join(reach, ["band", "other"])
-    maybe = maybe.filter(F.coalesce("distance", F.lit(0.0)) - F.coalesce("reach", F.lit(1.0)) <= near)
-    left = maybe.select("band", "rep", "other", "distance")
-    right = to_hub.filter("class = other").select("band", "other", F.col("rep").alias("partner"), F.col("distance").alias("partner_distance"))
-    rest = left.join(right, ["band", "other"]).filter(
-        F.coalesce("distance", F.lit(0.0)) - F.coalesce("partner_distance", F.lit(1.0)) <= near
-    )
-    pairs.test(rest.filter("rep <> partner").select(*_ordered("rep", "partner")))
-    return pairs.classes()
-
-
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class of near-copies: the one with the smallest id.
 
