@@ -67,7 +67,8 @@ def test_directory_rules(spark, monkeypatch, step):
 
 
 def test_repeated_rows_are_split_by_their_place(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "STEP", 30)
+    monkeypatch.setattr(sharding, "STEP", 6)
+    monkeypatch.setattr(sharding, "HASH_BITS", 12)
     rows = [(1, "x" * 10, "a")] * 100 + [(2, None, "a")] * 3 + [(None, "y" * 700, "a"), (3, "", None)]
     found = sharding.assign_shards(documents(spark, rows), 50).collect()
     assert Counter(r.doc_id for r in found) == Counter(d for d, _, _ in rows)
