@@ -12,6 +12,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -80,15 +81,20 @@ def _three_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="lexiweight-")
+
+
 def _stage_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares. Where the session names none and there is
-    no cluster, one is set; the session's owner removes it."""
+    no cluster, it lies in a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all workers share")
-        shared = tempfile.mkdtemp(prefix="lexiweight-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/stages-{uuid.uuid4().hex}"
 
 
