@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,8 +101,24 @@ def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndar
     return equal
 
 
+def token_bytes(tokenizer_json: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that each id decodes to, one after the other, and where each id's begin."""
+    tokenizer = json.loads(tokenizer_json)
+    letters = byte_of_letter()
+
+    def decoded(token: str) -> bytes:
+        """A token with any letter that stands for no byte decodes to its own text."""
+        return bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+
+    by_id = {i: decoded(t) for t, i in tokenizer["model"]["vocab"].items()}
+    by_id |= {t["id"]: decoded(t["content"]) for t in tokenizer["added_tokens"]}
+    parts = [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
+    offsets = np.cumsum([0, *(len(p) for p in parts)])
+    return np.frombuffer(b"".join(parts), np.uint8), offsets
+
+
 class _Coder:
-    """Encodes and decodes fragments with the tokenizers library, each different one once."""
+    """Encodes fragments with the tokenizers library, each different one once."""
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
@@ -109,33 +126,38 @@ class _Coder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def __call__(self, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded bytes, of each piece."""
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, for each piece."""
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > MAX_REMEMBERED:
             self.known, new = {}, pieces
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False)]
-            texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            for piece, own, text in zip(part, ids, texts, strict=True):
-                self.known[piece] = (np.array(own, "<u4").tobytes(), text.encode())
-        found = [self.known[p] for p in pieces]
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
+            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in found), strict=True))
+        out = [self.known[p] for p in pieces]
         for piece in new:
             if len(piece) > MAX_REMEMBERED_BYTES:
                 del self.known[piece]
-        return [x[0] for x in found], [x[1] for x in found]
+        return out
 
 
 def _joined(parts: list[bytes], which: np.ndarray, doc: np.ndarray, rows: int) -> list[bytes]:
     """For each row, the parts of its fragments one after the other."""
     flat = np.frombuffer(b"".join(parts), np.uint8)
     length = np.array([len(p) for p in parts], np.int64)
-    offset = np.cumsum(length) - length
-    per_row = np.bincount(doc, weights=length[which], minlength=rows).astype(np.int64)
-    fragment_edges = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=rows))])
+    return _gathered(flat, np.concatenate([[0], np.cumsum(length)]), which, np.bincount(doc, minlength=rows))
+
+
+def _gathered(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray, per_row_parts: np.ndarray) -> list[bytes]:
+    """For each row, its parts ``flat[offsets[i] : offsets[i + 1]]`` one after the other."""
+    rows = len(per_row_parts)
+    offset, length = offsets[:-1], np.diff(offsets)
+    fragment_edges = np.concatenate([[0], np.cumsum(per_row_parts)])
+    totals = np.concatenate([[0], np.cumsum(length[which])])[fragment_edges]
+    per_row = np.diff(totals)
     out = []
     # A few rows at a time: the positions of all bytes take eight times their room.
     first = 0
@@ -150,7 +172,7 @@ def _joined(parts: list[bytes], which: np.ndarray, doc: np.ndarray, rows: int) -
     return out
 
 
-def _code(tokenizer_json, cut):
+def _code(tokenizer_json, cut, decoding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -164,8 +186,10 @@ def _code(tokenizer_json, cut):
                     first, which = distinct(block, found)
                     starts, ends = found.start[first].tolist(), found.end[first].tolist()
                     raw = block.data.tobytes()
-                    ids, texts = coder([raw[a:b] for a, b in zip(starts, ends, strict=True)])
-                    tokens, decoded = (_joined(x, which, found.doc, rows) for x in (ids, texts))
+                    ids = coder([raw[a:b] for a, b in zip(starts, ends, strict=True)])
+                    tokens = _joined(ids, which, found.doc, rows)
+                    counts = np.array([len(t) // 4 for t in tokens])
+                    decoded = _gathered(*decoding.value, np.frombuffer(b"".join(tokens), "<u4"), counts)
                 else:
                     tokens, decoded = [b""] * rows, [b""] * rows
                 same = [batch.column(c).slice(block.rows.start, rows) for c in ("doc_id", "row")]
@@ -209,5 +233,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, carry: list[str] | None
             T.StructField("row", texts.schema["row"].dataType),
         ]
     )
-    code = _code(context.broadcast(tokenizer_json), context.broadcast(cut_table(tokenizer_json)))
+    parts = (tokenizer_json, cut_table(tokenizer_json), token_bytes(tokenizer_json))
+    code = _code(*(context.broadcast(p) for p in parts))
     return texts.mapInArrow(code, result)
