@@ -11,12 +11,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of the session, once."""
+    """Send this package to the Python workers of the session, once, and let Arrow batches hold at
+    most ``BATCH_ROWS`` rows: a batch of whole texts is in memory on both sides."""
     context = spark.sparkContext
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]

@@ -67,7 +67,7 @@ class _Portion:
         self.size += len(key)
 
     def full(self) -> bool:
-        return self.size >= PORTION // 2 or self.docs >= MAX_DOCS
+        return self.size >= PORTION // 4 or self.docs >= MAX_DOCS
 
     def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         key, doc, flag = (np.concatenate(x) for x in zip(*self.parts, strict=True))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are handled in blocks of about so many bytes (a longer text is a block of its own).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
