@@ -17,10 +17,9 @@ from lexiweight.llm.vectors import matrix, unit, usable, with_vectors
 COSINE = 0.95
 # Cells at most (they are broadcast), vectors of the sample for each cell, rounds of k-means.
 MAX_CELLS, SAMPLE_PER_CELL, ROUNDS = 4096, 24, 8
-# A vector is also compared in every other cell to whose border it is closer than so many times
-# the spread, across a border, of the difference of two vectors that are just linked.
-REACH = 4.0
-# Vectors of a block of products; larger cells are split.
+# What rounding may add to the distance of a vector from a border.
+MARGIN = 1e-7
+# Vectors of a block of products: smaller cells are grouped, larger groups are split.
 BLOCK = 2048
 
 
@@ -38,35 +37,48 @@ def fit_cells(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
+def group_cells(centres: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each cell: cells of similar direction are one group."""
+    if groups >= len(centres):
+        return np.arange(len(centres))
+    return np.argmax(centres @ fit_cells(centres, groups).T, axis=1)
+
+
 def _assign(model, cosine: float):
-    """Each vector in its own cell, and as a guest in the later cells that may hold its links."""
+    """Each vector in its own group of cells, and as a guest in the later groups that may hold its
+    links: those with a cell to whose border it is close enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = model.value
-        width = centres.shape[1]
-        # The difference of linked vectors has a length of sin(angle) across their direction.
-        reach = REACH * np.sqrt((1 - cosine**2) / width)
+        centres, group = model.value
+        # The border of two cells is a plane through the origin. A vector of length 1 at a distance
+        # of s from it has an angle of arcsin(s) or more with all vectors beyond it.
+        reach = np.sqrt(max(1 - max(cosine, 0) ** 2, 0))
         apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
+        order = np.argsort(group, kind="stable")
+        groups, edges = np.unique(group[order], return_index=True)
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 near = unit(matrix(part.column("vector"))) @ centres.T
                 own = np.argmax(near, axis=1)
                 gap = near[np.arange(len(own)), own][:, None] - near
-                inside = (gap <= reach * apart[own]) & (np.arange(len(centres)) > own[:, None])
-                inside[np.arange(len(own)), own] = True
-                row, cell = np.nonzero(inside)
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        taken.column("rep"),
-                        taken.column("copies"),
-                        taken.column("vector"),
-                        pa.array(cell.astype(np.int32)),
-                        pa.array(cell != own[row]),
-                    ],
-                    names=["rep", "copies", "vector", "cell", "guest"],
-                )
+                inside = np.logical_or.reduceat((gap <= reach * apart[own] + MARGIN)[:, order], edges, axis=1)
+                inside &= groups >= group[own][:, None]
+                row, place = np.nonzero(inside)
+                cell = groups[place]
+                for i in range(0, len(row), BLOCK):
+                    rows, cells = row[i : i + BLOCK], cell[i : i + BLOCK]
+                    taken = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            taken.column("rep"),
+                            taken.column("copies"),
+                            taken.column("vector"),
+                            pa.array(cells.astype(np.int32)),
+                            pa.array(cells != group[own[rows]]),
+                        ],
+                        names=["rep", "copies", "vector", "cell", "guest"],
+                    )
 
     return run
 
@@ -120,11 +132,13 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Spherical k-means over a bounded sample (``SAMPLE_PER_CELL`` vectors a cell, about half as
     many cells as the root of the number of vectors, ``MAX_CELLS`` at most) divides the vectors
-    into cells. All vectors of a cell are compared; one near a border is a guest in the cells
-    beyond it. A pair is missed only if the two lie in different cells and differ across the border
-    by more than ``REACH`` times what they do on average. Equal vectors are one from the start,
-    large cells are split into pairs of blocks, and a block hands on one row for each vector, so
-    groups of any size are counted without listing their pairs.
+    into cells, and similar cells are grouped up to about ``BLOCK`` vectors. All vectors of a group
+    are compared with each other and with its guests: the vectors of earlier groups that are so
+    close to the border of one of its cells that a link may cross it. No link can cross from
+    farther away, so all pairs are found. Vectors without clusters are guests nearly everywhere,
+    which comes to comparing all with all. Equal vectors are one from the start, large groups are
+    split into pairs of blocks, and a block hands on one row for each vector, so groups of any size
+    are counted without listing their pairs.
 
     Rows without ``vec_id`` or a usable vector (null, zero, or with a null or non-finite component)
     are linked with nothing and kept, with their own id as component. Vectors of different length
@@ -144,16 +158,22 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
         main = distinct.filter(F.size("vector") == widest.width)
         k = max(1, min(MAX_CELLS, int(np.sqrt(widest.n) / 2)))
         sample = main.orderBy(F.xxhash64("rep"), "rep").limit(k * SAMPLE_PER_CELL).select("vector").toArrow()
-        model = spark.sparkContext.broadcast(fit_cells(unit(matrix(sample.column("vector"))), k))
+        centres = fit_cells(unit(matrix(sample.column("vector"))), k)
+        model = spark.sparkContext.broadcast((centres, group_cells(centres, -(-widest.n // BLOCK))))
         schema = "rep bigint, copies bigint, vector array<double>, cell int, guest boolean"
         parts.append(main.mapInArrow(_assign(model, cosine), schema))
         others = distinct.filter(F.size("vector") != widest.width)
         parts.append(others.select("rep", "copies", "vector", (-F.size("vector")).alias("cell"), F.lit(False).alias("guest")))
         placed = saved(parts[0].unionByName(parts[1]), "cells")
-        sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        # One row for each cell: MAX_CELLS, and the other lengths that vectors have.
-        placed = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-        placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        size = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
+        sizes = placed.groupBy("cell").agg(size(~F.col("guest")).alias("own"), size(F.col("guest")).alias("guests"))
+        # One row for each group: MAX_CELLS at most, and the other lengths that vectors have.
+        placed = placed.join(F.broadcast(sizes.filter("own > 0")), "cell")
+        # The blocks of guests follow a group's own; guests are not compared with each other.
+        place = F.xxhash64("rep")
+        block = F.when(F.col("guest"), F.col("own") + F.pmod(place, "guests")).otherwise(F.pmod(place, "own"))
+        last = F.when(F.col("guest"), F.col("own")).otherwise(F.col("own") + F.col("guests")) - 1
+        placed = placed.withColumn("block", block.cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
         pairs = placed.select(
             "rep", "copies", "vector", "guest", "block", "cell",
             F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"),

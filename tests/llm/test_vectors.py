@@ -69,6 +69,17 @@ def test_links_equal_all_pairs(spark, monkeypatch, block):
     check_links(spark, rows)
 
 
+@pytest.mark.parametrize("block", [8, 2048])
+def test_links_of_few_directions(spark, monkeypatch, block):
+    """Vectors of 4 out of 256 directions, many of them linked across the borders of cells."""
+    monkeypatch.setattr(cells, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    vectors = (rng.standard_normal((500, 4)) @ rng.standard_normal((4, 256))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    assert max(r[1] for r in all_pairs(rows)) > 5
+    check_links(spark, rows)
+
+
 ODD = [
     (1, [1, 0]), (2, [2, 0]), (2, [2, 0]), (3, [1, 0]), (4, None), (5, []), (6, [0, 0]), (7, [1, None]), (8, [float("nan"), 1]),
     (9, [float("inf"), 1]), (None, [1, 0]), (10, [1, 0, 0]), (11, [3, 0, 0]), (12, [-1, 0]), (13, [1e-30, 0]), (14, [1e30, 1e29]), (15, [7]),
