@@ -40,8 +40,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources in equal parts: a document appears as often as it was drawn, maybe never."""
-    return mix(docs, SOURCE_WEIGHTS).select(*docs.columns)
+    """The sources that are left, in equal parts that add up to the bytes of ``docs``: a document
+    appears as often as it was drawn, maybe never."""
+    return mix(docs, SOURCE_WEIGHTS, refill=True).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,12 +39,14 @@ def _distribution(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, add)["all"]
 
 
-def repetition_rates(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0) -> DataFrame:
+def repetition_rates(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, refill: bool = False) -> DataFrame:
     """``(source, bytes, rate, parts, distribution)``: mean number of copies for each source.
 
-    The bytes of all copies are expected to be ``epochs`` times those of ``docs``, and those of a
-    source its weight of them. Sources that have no weight are one group with the key null; its
-    weight is that of the key ``""``, and 0 if there is none. The table has a row for each weight
+    The bytes of a source's copies are expected to be its weight of ``epochs`` times the bytes of
+    ``docs``. Sources that have no weight are one group with the key null; its weight is that of the
+    key ``""``, and 0 if there is none. The share of a weight whose group has no bytes is left out of
+    the output, or with ``refill`` goes to the other groups in proportion to theirs, so that all
+    copies together have ``epochs`` times the bytes of ``docs``. The table has a row for each weight
     at most, whatever the data; frequent sources are summed up before the shuffle.
     """
     shares = source_weights(weights)
@@ -53,6 +55,11 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float], epochs: float =
     sizes = rows.groupBy("source").agg(F.sum("bytes").alias("bytes"))
     total = rows.agg(F.sum("bytes")).scalar()
     share = F.coalesce(*(F.when(F.col("source") == s, F.lit(shares[s])) for s in listed), F.lit(shares.get("", 0.0)))
+    if refill:
+        # Sorted, as a sum of doubles depends on the order.
+        present = sizes.agg(F.array_sort(F.collect_list(F.when(F.col("bytes") > 0, share))).alias("shares"))
+        filled = present.select(F.aggregate("shares", F.lit(0.0), lambda a, b: a + b)).scalar()
+        share = F.when(share > 0, share / filled).otherwise(F.lit(0.0))
     rate = F.when(F.col("bytes") > 0, F.lit(float(epochs)) * total * share / F.col("bytes")).otherwise(F.lit(float(epochs)))
     rates = sizes.withColumn("rate", rate)
     rates = rates.withColumn("parts", F.greatest(F.ceil(F.col("rate") / MAX_MEAN), F.lit(1)).cast("int"))
@@ -63,7 +70,7 @@ def _listed(listed: list[str]) -> Column:
     return F.when(F.col("source").cast("string").isin(listed), F.col("source").cast("string"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: int = 0, refill: bool = False) -> DataFrame:
     """``docs`` as often as the target weights of their sources ask for, in random order.
 
     Each document is copied a Poisson number of times; the mean is the target rate of its source
@@ -73,10 +80,11 @@ def mix(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: i
 
     Repeated rows get equal numbers, as do all rows without ``doc_id``. Null, unlisted and empty
     source names form the group of the weight ``""``. Null texts count no bytes; a source without
-    any bytes gets ``epochs`` copies on average. An empty table stays empty.
+    any bytes gets ``epochs`` copies on average. An empty table stays empty. Weights without any
+    bytes lower the output, unless ``refill`` gives their share to the others.
     """
     listed = [s for s in source_weights(weights) if s != ""]
-    rates = repetition_rates(docs, weights, epochs).select(
+    rates = repetition_rates(docs, weights, epochs, refill).select(
         F.coalesce("source", F.lit("")).alias("key"), F.struct("parts", "distribution").alias("target")
     )
     # One row for each given weight and one for the rest, so this is safe to broadcast.

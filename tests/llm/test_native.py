@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import math
 import random
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexiweight.llm import mixing, sharding
-from lexiweight.llm.queries import mixing_sql, sharding_sql
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+import corpus_pipeline  # noqa: E402
+from lexiweight.llm import mixing, sharding  # noqa: E402
+from lexiweight.llm.queries import mixing_sql, sharding_sql  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, source string, copy string, shard int"
 duckdb = pytest.importorskip("duckdb")
@@ -115,6 +120,23 @@ def test_sources_meet_their_targets(spark):
         assert size["a"] / total == pytest.approx(0.25, rel=0.1)
 
 
+def test_shares_of_absent_sources_are_refilled(spark):
+    rows = [(i, "x" * 100, "a" if i % 10 else "b") for i in range(4000)] + [(4000, None, "c")]
+    weights = {"a": 1.0, "b": 3.0, "c": 4.0, "d": 7.0, "e": 0.0, "": 5.0}
+    for epochs in (1.0, 2.5):
+        size = Counter(r.source for r in mixing.mix(documents(spark, rows), weights, epochs, refill=True).collect() if r.text)
+        assert size["b"] / 4000 / epochs == pytest.approx(0.75, rel=0.05)
+        assert size["a"] / 4000 / epochs == pytest.approx(0.25, rel=0.1)
+    assert mixing.mix(documents(spark, rows[:-1]), {"d": 1.0, "a": 0.0}, refill=True).collect() == []
+    assert mixing.mix(documents(spark, []), weights, refill=True).collect() == []
+
+
+def test_pipeline_keeps_the_bytes_with_few_sources(spark):
+    rows = [(i, "x" * 100, f"src{i % 5}") for i in range(4000)]
+    mixed = corpus_pipeline.source_mixing(spark, documents(spark, rows), "")
+    assert mixed.count() / 4000 == pytest.approx(1, rel=0.07)
+
+
 @pytest.mark.parametrize("mean", [0.2, 3.0, 200.0, 1500.0])
 def test_numbers_are_poisson(spark, mean):
     n = 2000
