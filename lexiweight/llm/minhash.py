@@ -18,7 +18,7 @@ from lexiweight.llm.shared import saved, ship
 SHINGLE, SIMILARITY = 5, 0.8
 # Two texts of that similarity share a band with a probability of 1 - (1 - 0.8^4)^12 = 0.998.
 BANDS, ROWS = 12, 4
-# Shingles in a smaller share of the documents all get the same, highest weight.
+# Shingles in a smaller share of the different texts all get the same, highest weight.
 RARE = 0.1
 # Counters of a row of the sketch of document frequencies, and slices that are added up apart.
 COUNTERS, SLICES = 1 << 19, 64
@@ -72,7 +72,7 @@ def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Frequencies:
-    """Inverse document frequency of shingles, from a count-min sketch over all documents.
+    """Inverse document frequency of shingles, from a count-min sketch over all different texts.
 
     The sketch has a fixed size, so it can be broadcast whatever the corpus. It never counts too
     little, and too much by about (shingles of a document / COUNTERS) of all documents: far less
@@ -87,13 +87,24 @@ class Frequencies:
         return found.count * np.maximum(self.tables[0][a], self.tables[1][b])
 
     def documents(self, found: Shingles) -> np.ndarray:
-        """About how many documents hold each shingle."""
+        """About how many different texts hold each shingle."""
         a, b = _places(found.key)
         return np.minimum(self.counts[0][a], self.counts[1][b])
 
 
+def _different(texts: DataFrame) -> DataFrame:
+    """``(text)``: each sequence of words once. Only texts that occur again are shuffled."""
+    words = F.trim(F.regexp_replace(F.col("text").cast("string"), r"[\x20\x09-\x0D]+", " "))
+    named = texts.select("text", F.md5(words).alias("print"))
+    again = named.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = _few(saved(again.select("print"), "again"))
+    once = named.join(again, "print", "left_semi").dropDuplicates(["print"])
+    return named.join(again, "print", "left_anti").unionByName(once).select("text")
+
+
 def document_frequencies(texts: DataFrame, rare: float = RARE) -> Frequencies:
-    """Count all documents: 2 x COUNTERS sums come to the driver, as a fixed number of slices."""
+    """Count all different texts, so that exact copies do not make their words frequent: 2 x COUNTERS
+    sums come to the driver, as a fixed number of slices."""
     width = COUNTERS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +133,7 @@ def document_frequencies(texts: DataFrame, rare: float = RARE) -> Frequencies:
         yield pa.RecordBatch.from_pylist(rows, schema=_SLICES)
 
     names = "slice int, documents bigint, counts binary"
-    slices = texts.mapInArrow(count, names).repartition(SLICES, "slice").mapInArrow(add, names).collect()
+    slices = _different(texts).mapInArrow(count, names).repartition(SLICES, "slice").mapInArrow(add, names).collect()
     total = max([1, *(s["documents"] for s in slices)])
     counts = np.zeros((2, COUNTERS), np.int64)
     for s in slices:
@@ -384,7 +395,7 @@ def _classes(reps: DataFrame, texts: DataFrame, frequencies, similarity: float)
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, class_id, kept)``: a row for each row of ``docs`` with the class of its near-copies.
 
-    Texts are multisets of shingles, weighted by their number and by 1 - ln(share of documents
+    Texts are multisets of shingles, weighted by their number and by 1 - ln(share of different texts
     that hold them), the share counted from ``RARE`` up. Two texts are linked if they share a band
     of samples, or lie in mixed bands as below, and their weighted Jaccard similarity is
     ``similarity`` or more; a class holds all texts that links connect, and is named by its

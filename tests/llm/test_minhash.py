@@ -158,6 +158,22 @@ def test_frequencies_count_documents(spark):
     assert got == [pytest.approx(1 - np.log(minhash.RARE))]
 
 
+def test_exact_copies_do_not_part_their_variants(spark):
+    """Two variants whose plain similarity is 0.83 stay in one class however many copies there are,
+    also copies that differ in white space."""
+    rng = random.Random(4)
+    base = words_of(rng, 100)
+    variants = [" ".join(base), " ".join([*base[:91], *words_of(rng, 9)])]
+    rows = [(i, variants[0].replace(" ", " " * (1 + i % 2))) for i in range(60)] + [(100, variants[1])]
+    rows += [(200 + i, " ".join(words_of(rng, 30))) for i in range(40)]
+    docs = spark.createDataFrame([(d, t, 0, "") for d, t in rows], SCHEMA)
+    frequencies = minhash.document_frequencies(docs)
+    different = spark.createDataFrame([(d, t, 0, "") for d, t in rows if d == 0 or d >= 100], SCHEMA)
+    assert weights(variants[0], frequencies) == weights(variants[0], minhash.document_frequencies(different))
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert found == {d: 0 if d <= 100 else d for d, _ in rows}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
