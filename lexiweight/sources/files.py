@@ -16,10 +16,13 @@ Naming = Callable[[Column], Column]
 def _listed(spark: SparkSession, path: str) -> DataFrame:
     """``(path)`` of every file that a directory, file or glob names, empty ones included; names that
     start with ``.`` or ``_`` do not count. The list is that of Spark's file index, which holds the
-    names of all files that a query reads on the driver."""
-    files = spark.read.format("binaryFile").load(path).inputFiles()
-    names = spark.createDataFrame([(name,) for name in files], "name string")
-    return names.select(_decoded(F.col("name")).alias("path"))
+    names of all files that a query reads on the driver; it becomes a DataFrame inside the JVM."""
+    files = spark.read.format("binaryFile").load(path)._jdf.inputFiles()
+    names = spark._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(files)
+    strings = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    dealt = spark._jsc.sc().parallelize(names, spark.sparkContext.defaultParallelism, strings.clsTag())
+    rows = spark._jsparkSession.createDataset(dealt, strings)
+    return DataFrame(rows.toDF(), spark).select(_decoded(F.col("value")).alias("path"))
 
 
 def _decoded(path: Column) -> Column:

@@ -64,6 +64,19 @@ def test_directory_size_opens_no_file(spark, folder):
     assert "FileScan" not in plan
 
 
+def test_directory_size_keeps_names_in_the_jvm(spark, folder):
+    plan = sources.directory_size(spark, folder, "c")._jdf.queryExecution().toString()
+    assert "LocalRelation" not in plan and "LogicalRDD" not in plan and "ExternalRDD" in plan
+
+
+def test_directory_size_of_partitions_that_scan_lines_takes(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part={i}").mkdir()
+        (tmp_path / f"part={i}" / f"doc{i}").write_text("a")
+    assert sources.scan_lines(spark, str(tmp_path), "c").count() == 3
+    assert sizes_of(spark, str(tmp_path), "c") == [("c", 3)]
+
+
 @pytest.mark.parametrize("scan", [sources.scan_documents, sources.scan_lines])
 def test_equal_names_in_several_folders(spark, tmp_path, scan):
     for name in ("x", "y"):
