@@ -94,9 +94,10 @@ def spans(lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def split(block: Block) -> Words:
-    """The maximal runs of bytes other than blank, tab, line feed, vertical tab, form feed, return."""
-    inside = ~_SEPARATOR[block.data]
+def split(block: Block, separator: np.ndarray = _SEPARATOR) -> Words:
+    """The maximal runs of bytes other than blank, tab, line feed, vertical tab, form feed, return,
+    or than those that ``separator`` marks."""
+    inside = ~separator[block.data]
     n = len(inside)
     edges = block.offsets[:-1]
     edges = edges[edges < n]
