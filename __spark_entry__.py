@@ -10,9 +10,8 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
-import uuid
 from collections.abc import Callable
-from functools import cache
+from functools import wraps
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -22,10 +21,13 @@ from pyspark.sql import functions as F
 from lexiweight import operators as op
 from lexiweight import sinks, sources, term_counts, term_weights, term_weights_staged
 from lexiweight.functions import document_id, format_score, icf_weight, tf_weight
+from lexiweight.storage import new_folder
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 # What is put around the texts of the odd documents, in turn.
 ODD_ENDS = ["", " ", "\t\n", "\x01", " \x1f ", "7\u2028x", "1\u0085"]
+# Ids whose texts are in one file, for each language, where a query reads files.
+IDS_PER_FILE = 500
 # Pieces into which the queries named large split all pairs: as on a cluster with many partitions.
 MANY_PIECES = 40_000
 
@@ -81,21 +83,19 @@ def _three_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="lexiweight-")
+def _with_folder(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query in a session that has a folder for tables. A cluster must name one that it shares; a
+    single machine that names none gets a temporary one."""
 
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        context = spark.sparkContext
+        local = context.master == "local" or context.master.startswith("local[")
+        if local and not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="lexiweight-"))
+        return query(spark, sf_dir)
 
-def _stage_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares. Where the session names none and there is
-    no cluster, it lies in a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all workers share")
-        shared = _own_folder()
-    return f"{shared.rstrip('/')}/stages-{uuid.uuid4().hex}"
+    return run
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -164,7 +164,7 @@ def _report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sorted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _stage_dir(spark)
+    path = new_folder(spark, "stages")
     weighted = term_weights(_documents(spark, sf_dir), "clean", one_row_per_document=True)
     sinks.write_sorted_report(weighted, path)
     back = sources.scan_stage(spark, path, "scores")
@@ -172,7 +172,7 @@ def _sorted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _stage_dir(spark)
+    path = new_folder(spark, "stages")
     sinks.write_stage(_counts(spark, sf_dir), "word_count", f"{path}/word_count")
     counts = sources.scan_stage(spark, f"{path}/word_count", "word_count")
     sinks.write_stage(op.tf_parts(counts), "tf_parts", f"{path}/tf_parts")
@@ -180,16 +180,18 @@ def _stage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _term_weights_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    staged = term_weights_staged(_documents(spark, sf_dir), _stage_dir(spark), "clean")
+    staged = term_weights_staged(_documents(spark, sf_dir), new_folder(spark, "stages"), "clean")
     return _rounded(staged, "score")
 
 
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
-    """The texts of ``documents``, a file for each in a folder that names it."""
-    path = _stage_dir(spark)
-    texts = _documents(spark, sf_dir).select("document", F.coalesce("text", F.lit("")).alias("text"))
+    """The texts of ``documents`` in files below folders that name them: by language and range of ids, so
+    the files are as many as the documents ask for."""
+    path = new_folder(spark, "texts")
+    name = F.concat_ws("-", F.coalesce("lang", F.lit("und")), F.floor(F.col("doc_id") / IDS_PER_FILE))
+    texts = _table(spark, sf_dir, "documents").select(name.alias("document"), F.coalesce("text", F.lit("")).alias("text"))
     texts.hint("rebalance", "document").write.partitionBy("document").text(path)
-    return f"{path}/*/*"
+    return f"{path}/document=*"
 
 
 def _named_by_folder(path: Column) -> Column:
@@ -206,7 +208,7 @@ def _directory_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _icf_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _stage_dir(spark)
+    path = new_folder(spark, "stages")
     sinks.write_stage(_icf_parts(spark, sf_dir), "icf_parts", path)
     return sources.scan_stage(spark, path, "icf_parts")
 
@@ -237,7 +239,7 @@ def _training_data() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _training_data()[0] | {
+    own = {
         "corpus_size": lambda s, d: op.corpus_size(_documents(s, d)),
         "token_count_raw": lambda s, d: op.token_count(op.tokens(_documents(s, d), "raw")),
         "token_count_raw_java": lambda s, d: op.token_count(op.tokens(_documents(s, d), "raw_java")),
@@ -280,6 +282,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "word_count_clean_odd": lambda s, d: op.word_count(op.tokens(_odd_documents(s, d), "clean")),
         "key_parts": _key_parts,
     }
+    return {name: _with_folder(query) for name, query in (_training_data()[0] | own).items()}
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -360,7 +363,8 @@ _TF_PARTS = (
     " from counts join doc_sizes using (corpus, document)"
 )
 _TOKEN_COUNT = "select corpus, document, count(*) as num_tokens from tokens group by corpus, document"
-_FILES = "select 'files' as corpus, cast(doc_id as varchar) as document, text from documents"
+_FILES = f"""
+    select 'files' as corpus, concat(coalesce(lang, 'und'), '-', floor(doc_id / {IDS_PER_FILE})::bigint) as document, text from documents"""
 _COUNTS = "select corpus, document, word, word_count from counts"
 
 

@@ -8,73 +8,59 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweight.functions.text import document_id
+from lexiweight.sources.listing import list_files
 
 # Turns the path of a file into the id of its document.
 Naming = Callable[[Column], Column]
 
 
-def _listed(spark: SparkSession, path: str) -> DataFrame:
-    """``(path)`` of every file that a directory, file or glob names, empty ones included; names that
-    start with ``.`` or ``_`` do not count. The list is that of Spark's file index, which holds the
-    names of all files that a query reads on the driver; it becomes a DataFrame inside the JVM."""
-    files = spark.read.format("binaryFile").load(path)._jdf.inputFiles()
-    names = spark._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(files)
-    strings = spark._jvm.org.apache.spark.sql.Encoders.STRING()
-    dealt = spark._jsc.sc().parallelize(names, spark.sparkContext.defaultParallelism, strings.clsTag())
-    rows = spark._jsparkSession.createDataset(dealt, strings)
-    return DataFrame(rows.toDF(), spark).select(_decoded(F.col("value")).alias("path"))
+def _decoded(path: Column) -> Column:
+    """A path of file metadata as ``list_files`` has it. It is URL-encoded there, but for the plus sign,
+    which stands for itself; local paths start with one slash or with three."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:/(?=[^/])", "file:///")
 
 
-def _decoded(path: Column) -> Column:
-    """A path of file metadata is URL-encoded, but for the plus sign, which stands for itself."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+def _read(spark: SparkSession, path: str, **options: bool) -> DataFrame:
+    """``(path, text)`` from Spark's text source, over the files that ``list_files`` lists too."""
+    rows = spark.read.text(path, recursiveFileLookup=True, **options)
+    return rows.select(_decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
 
 
-def _num_partitions(spark: SparkSession, path: str) -> int:
-    """Enough partitions to keep each at ``spark.sql.files.maxPartitionBytes`` or below."""
-    plan = spark.read.format("binaryFile").load(path)._jdf.queryExecution().optimizedPlan()
-    limit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return max(spark.sparkContext.defaultParallelism, -(-int(str(plan.stats().sizeInBytes())) // limit))
+def _named(rows: DataFrame, corpus: str, naming: Naming) -> DataFrame:
+    return rows.select(F.lit(corpus).alias("corpus"), naming(F.col("path")).alias("document"), "text")
 
 
 def scan_documents(spark: SparkSession, path: str, corpus: str, naming: Naming = document_id) -> DataFrame:
-    """``(corpus, document, text)``, one row per file, empty files included.
+    """``(corpus, document, text)``, one row per file below a folder, at any depth, or of a file or glob.
 
-    The ``text`` and ``binaryFile`` sources drop empty files, which would falsify the number of
-    documents, so this reads with ``wholeTextFiles``. The pairs become a DataFrame inside the JVM: no
-    row passes through Python. A single file must fit in a row (2 GB); use ``scan_lines`` for
-    larger ones.
+    Files are read by Spark's text source, as many to a partition as ``spark.sql.files.maxPartitionBytes``
+    holds. It drops empty files, which would falsify the number of documents; these come from the listing
+    (see ``list_files``), which is made when this function is called. A single file must fit in a row
+    (2 GB); use ``scan_lines`` for larger ones.
 
     ``naming`` makes the document id of the path. By default it is the base name, so files of one
     name in several directories are pieces of one document; pass ``lambda path: path`` to keep them
     apart.
     """
-    encoders = spark._jvm.org.apache.spark.sql.Encoders
-    files = spark._jsc.wholeTextFiles(path, _num_partitions(spark, path))
-    pairs = encoders.tuple(encoders.STRING(), encoders.STRING())
-    rows = DataFrame(spark._jsparkSession.createDataset(files.rdd(), pairs).toDF(), spark)
-    return rows.select(
-        F.lit(corpus).alias("corpus"), naming(F.col("_1")).alias("document"), F.col("_2").alias("text")
-    )
+    empty = list_files(spark, path).filter("length = 0").select("path", F.lit("").alias("text"))
+    return _named(_read(spark, path, wholetext=True).unionByName(empty), corpus, naming)
 
 
 def scan_lines(spark: SparkSession, path: str, corpus: str, naming: Naming = document_id) -> DataFrame:
     """``(corpus, document, text)``, one row per line; large files are read in parallel.
 
     A file without a line yields no row: pass ``directory_size`` to the pipeline if there may be
-    empty files. ``naming`` is that of ``scan_documents``.
+    empty files. Paths and ``naming`` are those of ``scan_documents``.
     """
-    return spark.read.text(path).select(
-        F.lit(corpus).alias("corpus"),
-        naming(_decoded(F.col("_metadata.file_path"))).alias("document"),
-        F.col("value").alias("text"),
-    )
+    return _named(_read(spark, path), corpus, naming)
 
 
 def directory_size(spark: SparkSession, path: str, corpus: str, naming: Naming = document_id) -> DataFrame:
     """``(corpus, num_docs)``: number of documents in the files of any path that the scans take.
 
-    Spark lists the files; their names are counted in a job, and no file is opened.
+    The files are listed and their names counted in jobs (see ``list_files``). The driver holds none of
+    them, and no file is opened.
     """
-    documents = _listed(spark, path).select(naming(F.col("path")).alias("document")).distinct()
+    documents = list_files(spark, path).select(naming(F.col("path")).alias("document")).distinct()
     return documents.agg(F.count(F.lit(1)).alias("num_docs")).select(F.lit(corpus).alias("corpus"), "num_docs")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,22 +61,75 @@ def test_directory_size_of_any_path_that_the_scans_take(spark, folder, path, set
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_directory_size_opens_no_file(spark, folder):
-    plan = sources.directory_size(spark, folder, "c")._jdf.queryExecution().executedPlan().toString()
-    assert "FileScan" not in plan
+def test_the_driver_holds_no_list(spark, folder):
+    """The names are in tables that jobs wrote; the plan has neither rows of its own nor a Python list,
+    and no file of the corpus is opened."""
+    plan = sources.directory_size(spark, folder, "c")._jdf.queryExecution().toString()
+    assert "LocalRelation" not in plan and "RDD" not in plan and "LocalTableScan" not in plan
+    assert folder not in plan and "listing-" in plan
+
 
+def test_scans_use_no_gateway():
+    code = Path(sources.files.__file__).read_text() + Path(sources.listing.__file__).read_text()
+    assert "_jvm" not in code and "_jsc" not in code and "inputFiles" not in code
 
-def test_directory_size_keeps_names_in_the_jvm(spark, folder):
-    plan = sources.directory_size(spark, folder, "c")._jdf.queryExecution().toString()
-    assert "LocalRelation" not in plan and "LogicalRDD" not in plan and "ExternalRDD" in plan
 
+def test_every_level_of_folders(spark, tmp_path):
+    """Folders at any depth, of partitions too; hidden ones are left out."""
+    for name in ("part=0", "part=1", "a/b/c", "a", "_x=1", "_temporary/0", ".git", "a/.cache", "empty"):
+        (tmp_path / name).mkdir(parents=True, exist_ok=True)
+        (tmp_path / name / f"doc-{name.replace('/', '-')}").write_text("" if name == "a" else "a")
+    (tmp_path / "empty" / "doc-empty").unlink()
+    path = str(tmp_path)
+    expected = {"doc-part=0", "doc-part=1", "doc-a-b-c", "doc-a", "doc-_x=1"}
+    assert {r.document for r in sources.scan_documents(spark, path, "c").collect()} == expected
+    assert {r.document for r in sources.scan_lines(spark, path, "c").collect()} == expected - {"doc-a"}
+    assert sizes_of(spark, path, "c") == [("c", 5)]
+    lengths = {r.path.rsplit("/", 1)[-1]: r.length for r in sources.list_files(spark, path).collect()}
+    assert lengths == {n: int(n != "doc-a") for n in expected}
 
-def test_directory_size_of_partitions_that_scan_lines_takes(spark, tmp_path):
-    for i in range(3):
-        (tmp_path / f"part={i}").mkdir()
-        (tmp_path / f"part={i}" / f"doc{i}").write_text("a")
-    assert sources.scan_lines(spark, str(tmp_path), "c").count() == 3
-    assert sizes_of(spark, str(tmp_path), "c") == [("c", 3)]
+
+@pytest.mark.parametrize(
+    "glob",
+    ["*", "*/*", "?", "x/*", "{x,y}/doc[12]", "{x/doc1,y/doc*}", "*/doc[^1]", "x/doc[1-2]", "y/{doc1,doc2}", "*/doc\\*", "x", "{x,y,z}", "*/*/*", "*/a b%+.txt"],
+)
+def test_globs_find_what_spark_finds(spark, tmp_path, glob):
+    for name in ("x/doc1", "x/doc2", "y/doc1", "y/doc3", "y/a b%+.txt", "y/doc*", "z/deep/doc4", "top.txt", "x/_SUCCESS", "z/.hidden"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"text of {name}")
+    path = f"{tmp_path}/{glob}"
+    ours = sorted(r.path for r in sources.list_files(spark, path).collect())
+    theirs = sorted(r.path for r in sources.files._read(spark, path).collect())
+    assert ours == theirs and ours
+
+
+def test_missing_paths_fail(spark, tmp_path):
+    with pytest.raises(Exception, match="nothing-here"):
+        sources.list_files(spark, f"{tmp_path}/nothing-here")
+    with pytest.raises(ValueError, match="absolute"):
+        sources.list_files(spark, "relative")
+
+
+def test_many_names_in_one_folder(spark, tmp_path):
+    for i in range(20_000):
+        (tmp_path / f"{i}").touch()
+    assert sources.list_files(spark, f"{tmp_path}").count() == 20_000
+    assert sizes_of(spark, str(tmp_path), "c") == [("c", 20_000)]
+
+
+def test_partitions_follow_the_setting(spark, tmp_path):
+    for i in range(64):
+        (tmp_path / f"{i}").write_text("x" * 1000)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("2000", "0"), strict=True):
+            spark.conf.set(n, v)
+        rows = sources.scan_documents(spark, str(tmp_path), "c").filter("text <> ''")
+        assert rows.select(F.spark_partition_id()).distinct().count() == 64 // 2
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
 
 
 @pytest.mark.parametrize("scan", [sources.scan_documents, sources.scan_lines])
