@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lexiweight import operators as op
 from lexiweight import sinks, sources, term_counts, term_weights, term_weights_staged
 from lexiweight.functions import document_id, format_score, icf_weight, tf_weight
+from lexiweight.plans import merged_frequency, merged_size, merged_weights, write_slice
 from lexiweight.storage import new_folder
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -121,7 +122,7 @@ def _tf_parts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _icf_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(spark, sf_dir)
     counts = op.word_count(op.tokens(documents, "clean"))
-    parts = op.icf_parts(counts, op.document_frequency(counts), op.corpus_size(documents))
+    parts = op.icf_parts(counts, None, op.corpus_size(documents))
     return parts.select("corpus", "document", "word", "num_docs", "num_docs_with_word")
 
 
@@ -148,8 +149,8 @@ def _term_weights(
 
 def _term_weights_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(spark, sf_dir)
-    tf, frequency = term_counts(documents, "clean", one_row_per_document=True)
-    icf = op.icf_parts(tf, frequency, op.corpus_size(documents, one_row_per_document=True))
+    tf, _ = term_counts(documents, "clean", one_row_per_document=True)
+    icf = op.icf_parts(tf, None, op.corpus_size(documents, one_row_per_document=True))
     return _rounded(op.scores_by_union(tf, icf), "score")
 
 
@@ -171,6 +172,33 @@ def _sorted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(sinks.report_lines(back), "score")
 
 
+def _report_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the sorted report, with their numbers in the order of its files."""
+    path = new_folder(spark, "stages")
+    weighted = term_weights(_documents(spark, sf_dir), "clean", one_row_per_document=True)
+    sinks.write_sorted_report(weighted, path)
+    return sources.scan_report(spark, path).select("corpus", "rank", "key")
+
+
+def _slices(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The documents counted in three slices by their sources, one after the other."""
+    table = _table(spark, sf_dir, "documents")
+    paths = []
+    for i in range(3):
+        own = table.filter(F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(3)) == i)
+        paths.append(new_folder(spark, f"slice-{i}"))
+        write_slice(_dealt(spark, sources.from_table(own, "doc_id", "text", "lang")), paths[-1], "clean")
+    return paths
+
+
+def _icf_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of words sent to the counts, which the caller bounds."""
+    documents = _documents(spark, sf_dir)
+    counts = op.word_count(op.tokens(documents, "clean"))
+    table = op.word_table(op.document_frequency(counts), op.corpus_size(documents))
+    return op.broadcast_lookup(counts, table, ["corpus", "word"]).drop("word_count")
+
+
 def _stage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "stages")
     sinks.write_stage(_counts(spark, sf_dir), "word_count", f"{path}/word_count")
@@ -269,6 +297,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "term_weights_union": _term_weights_union,
         "term_weights_staged": _term_weights_staged,
         "multi_corpus": _multi_corpus,
+        "document_frequency_merged": lambda s, d: merged_frequency(s, _slices(s, d)),
+        "corpus_size_merged": lambda s, d: merged_size(s, _slices(s, d)),
+        "term_weights_merged": lambda s, d: _rounded(merged_weights(s, _slices(s, d)), "tf", "icf", "score"),
+        "icf_lookup": _icf_lookup,
+        "report_rank": _report_rank,
         "report_lines": _report_lines,
         "sorted_report": _sorted_report,
         "stage_roundtrip": _stage_roundtrip,
@@ -362,6 +395,10 @@ _TF_PARTS = (
     "select corpus, document, word, word_count, doc_size"
     " from counts join doc_sizes using (corpus, document)"
 )
+_ICF_PARTS = (
+    "select corpus, document, word, num_docs, num_docs_with_word"
+    " from counts join frequencies using (corpus, word) join sizes using (corpus)"
+)
 _TOKEN_COUNT = "select corpus, document, count(*) as num_tokens from tokens group by corpus, document"
 _FILES = f"""
     select 'files' as corpus, concat(coalesce(lang, 'und'), '-', floor(doc_id / {IDS_PER_FILE})::bigint) as document, text from documents"""
@@ -392,9 +429,7 @@ def oracle_sql() -> dict[str, str]:
         "rekey_by_document": clean + _rekey_sql("document"),
         "tf_parts": clean + _TF_PARTS,
         "tf_parts_whole": clean + _TF_PARTS,
-        "icf_parts": clean
-        + "select corpus, document, word, num_docs, num_docs_with_word"
-        " from counts join frequencies using (corpus, word) join sizes using (corpus)",
+        "icf_parts": clean + _ICF_PARTS,
         "tf_weights": clean + "select corpus, document, word, round(tf, 12) as tf from weights",
         "icf_weights": clean
         + "select corpus, word, round(ln((num_docs + 1) / (num_docs_with_word + 1)), 12) as icf"
@@ -408,14 +443,18 @@ def oracle_sql() -> dict[str, str]:
         "term_weights_union": clean + _SCORES,
         "term_weights_staged": clean + _SCORES,
         "multi_corpus": _with("clean", _THREE_CORPORA) + _WEIGHTS,
+        "document_frequency_merged": clean + "select corpus, word, num_docs_with_word from frequencies",
+        "corpus_size_merged": clean + "select corpus, num_docs from sizes",
+        "term_weights_merged": clean + _WEIGHTS,
+        "icf_lookup": clean + _ICF_PARTS,
+        "report_rank": clean + "select corpus, row_number() over (partition by corpus order by key) as rank, key"
+        " from (select corpus, concat(document, '@', word) as key from weights)",
         "report_lines": clean + _LINES,
         "sorted_report": clean + _LINES,
         "stage_roundtrip": clean + _TF_PARTS,
         "tf_weights_fixed": clean
         + "select corpus, document, word, printf('%.16f', round(tf, 12)) as tf from weights",
-        "icf_stage_roundtrip": clean
-        + "select corpus, document, word, num_docs, num_docs_with_word"
-        " from counts join frequencies using (corpus, word) join sizes using (corpus)",
+        "icf_stage_roundtrip": clean + _ICF_PARTS,
         "scan_documents": _with("raw", _FILES) + _COUNTS,
         "scan_lines": _with("raw", _FILES) + _COUNTS,
         "directory_size": _with("raw", _FILES) + "select corpus, num_docs from sizes",

@@ -8,28 +8,38 @@ from lexiweight.operators.counts import (
     vocabulary,
     word_count,
 )
-from lexiweight.operators.lookup import lookup_join
-from lexiweight.operators.tokens import keyed, sized_tokens, tokens, whole_documents
+from lexiweight.operators.lookup import broadcast_lookup, join_spread, key_table, lookup_join, spread, spread_join
+from lexiweight.operators.tokens import keyed, row_counts, sized_tokens, tokens, whole_documents
 from lexiweight.operators.weights import (
+    frequency_table,
     icf_parts,
     scores,
     scores_by_union,
+    size_table,
     tf_parts,
     word_table,
 )
 
 __all__ = [
+    "broadcast_lookup",
     "corpus_size",
     "document_frequency",
     "document_size",
+    "frequency_table",
     "icf_parts",
+    "join_spread",
+    "key_table",
     "keyed",
     "lookup_join",
     "rekey",
+    "row_counts",
     "scores",
     "scores_by_union",
+    "size_table",
     "sized_tokens",
     "sized_word_count",
+    "spread",
+    "spread_join",
     "tf_parts",
     "token_count",
     "tokens",

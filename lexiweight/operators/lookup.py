@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Pieces for each shuffle partition into which all rows would be cut if keys could be cut at will.
 PIECES_PER_PARTITION = 16
+# Shuffle partitions for each salt over which ``spread`` deals out the rows of any key.
+PARTITIONS_PER_SALT = 2
 
 
 def default_pieces(df: DataFrame) -> int:
@@ -48,3 +50,67 @@ def lookup_join(
     dealt = salted(rows, F.pmod(F.xxhash64(*others), number))
     repeated = salted(table, F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1)))
     return dealt.join(repeated, [*keys, "salt"]).drop("salt")
+
+
+def spread(rows: DataFrame, keys: list[str], salts: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """``rows`` with a column ``salt``, shuffled by ``keys`` and ``salt``, a hash of all other columns or of
+    those named in ``by``.
+
+    A key of any weight is dealt out over ``salts`` places, by default half as many as there are
+    shuffle partitions; so no key needs to be known as heavy. Rows that are equal in all of these columns
+    stay together.
+
+    The filter lets every row pass. It makes each reader of this shuffle ask for all its columns, so
+    that those that add up keys and those that go on with the rows read one and the same, and the source
+    is not read once for each. Spark does not move it below the shuffle, as it holds the place of a row.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = salts or max(2, partitions // PARTITIONS_PER_SALT)
+    others = by or [c for c in rows.columns if c not in keys]
+    # The last value tells Spark that there always is a salt: a join would look for rows without one, and
+    # no longer read the same shuffle as others do.
+    salt = F.coalesce(F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"), F.lit(0))
+    dealt = rows.withColumn("salt", salt).repartition(*keys, "salt")
+    return dealt.filter((F.monotonically_increasing_id() >= 0) | (F.xxhash64(*dealt.columns) == 0))
+
+
+def key_table(dealt: DataFrame, keys: list[str], total: Column, name: str) -> DataFrame:
+    """``(*keys, salt, <name>)`` of ``spread`` rows: for each key and each of its salts, the sum of
+    ``total`` over all rows of the key.
+
+    The rows are added up where they lie. What is shuffled then is a row for each key and salt that occur
+    together: one for a key of one row, as many as there are salts at most.
+    """
+    places = dealt.groupBy(*keys, "salt").agg(F.sum(total).alias("part"))
+    return places.select(*keys, "salt", F.sum("part").over(Window.partitionBy(*keys)).alias(name))
+
+
+def join_spread(dealt: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join of ``spread`` rows with a table that has a row for each of their keys and salts. The
+    rows stay where they are.
+
+    The table is hashed: it has no more rows in a partition than those that it is joined with.
+    """
+    return dealt.join(table.hint("shuffle_hash"), [*keys, "salt"]).drop("salt")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], salts: int | None = None) -> DataFrame:
+    """Inner equi-join of ``rows`` with ``table``, which is unique on ``keys``; safe under heavy keys, and
+    without a look at the weight of any."""
+    dealt = spread(rows, keys, salts)
+    places = key_table(dealt, keys, F.lit(1), "num_rows").drop("num_rows")
+    return join_spread(dealt, places.join(table, keys), keys)
+
+
+def broadcast_lookup(rows: DataFrame, table: DataFrame, keys: list[str], most_bytes: int = 64 << 20) -> DataFrame:
+    """Inner equi-join of ``rows`` with ``table``, which is unique on ``keys``, by sending the whole table
+    to every task: for callers who know that it is small.
+
+    Nothing chooses this join by size. A table whose columns hold more than ``most_bytes`` as text
+    fails the query, before any of it is sent.
+    """
+    length = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns), F.lit(0))
+    total = F.coalesce(table.agg(F.sum(length)).scalar(), F.lit(0))
+    message = F.concat(F.lit("the table of a broadcast lookup has "), total.cast("string"), F.lit(f" bytes, more than {most_bytes}"))
+    small = F.when(total <= most_bytes, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return rows.join(F.broadcast(table.filter(small)), keys)

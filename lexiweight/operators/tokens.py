@@ -65,3 +65,28 @@ def sized_tokens(corpus: DataFrame, profile: str = "raw") -> DataFrame:
     split = keyed(corpus).select("corpus", "document", words(F.col("text"), profile).alias("words"))
     sized = split.withColumn("doc_size", F.size("words").cast("bigint"))
     return _one_row_per_word(sized, F.col("words"), "corpus", "document", "doc_size")
+
+
+def row_counts(corpus: DataFrame, profile: str = "raw") -> DataFrame:
+    """``(corpus, document, word, word_count, doc_size)`` for corpora with one row per document.
+
+    The words of a row are sorted and their runs measured within the row, so nothing is shuffled.
+    Every step is a column of its own, lest it be worked out again for each word.
+    """
+    split = keyed(corpus).select("corpus", "document", F.sort_array(words(F.col("text"), profile)).alias("words"))
+    number = F.size("words")
+    new = F.when(
+        number > 0,
+        F.filter(F.sequence(F.lit(0), number - 1), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1))),
+    )
+    starts = split.withColumns({"doc_size": number.cast("bigint"), "starts": new})
+    runs = F.transform(
+        "starts",
+        lambda start, j: F.struct(
+            F.get("words", start).alias("word"),
+            (F.coalesce(F.get("starts", j + 1).cast("bigint"), F.col("doc_size")) - start).alias("word_count"),
+        ),
+    )
+    pairs = starts.select("corpus", "document", F.explode_outer(runs).alias("pair"), "doc_size")
+    counted = pairs.select("corpus", "document", "pair.word", "pair.word_count", "doc_size")
+    return counted.filter(F.col("word").isNotNull())

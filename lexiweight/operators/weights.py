@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiweight.functions.weights import icf_weight, score_weight, tf_weight
-from lexiweight.operators.counts import document_size
-from lexiweight.operators.lookup import lookup_join
+from lexiweight.operators.lookup import join_spread, key_table, spread, spread_join
 
 PAIR = ["corpus", "document", "word"]
 
@@ -15,31 +14,51 @@ PAIR = ["corpus", "document", "word"]
 def tf_parts(counts: DataFrame, pieces: int | None = None) -> DataFrame:
     """``(corpus, document, word, word_count, doc_size)`` from word counts of any corpus.
 
-    Here and below, ``pieces`` says how finely heavy keys are split; see ``lookup_join``.
+    Here and below, ``pieces`` is the number of salts that the rows of a key are dealt out over; see
+    ``lookup.spread``.
     """
-    sizes = document_size(counts)
-    # Occurrences stand in for rows: a document never has more distinct words than words.
-    joined = lookup_join(counts, sizes, ["corpus", "document"], sizes, "doc_size", pieces)
-    return joined.select(*PAIR, "word_count", "doc_size")
+    dealt = spread(counts, ["corpus", "document"], pieces)
+    return join_spread(dealt, size_table(dealt), ["corpus", "document"]).select(*PAIR, "word_count", "doc_size")
+
+
+def size_table(dealt: DataFrame) -> DataFrame:
+    """``(corpus, document, salt, doc_size)`` of word counts that are spread by document."""
+    return key_table(dealt, ["corpus", "document"], F.col("word_count"), "doc_size")
 
 
 def word_table(frequency: DataFrame, sizes: DataFrame, pieces: int | None = None) -> DataFrame:
     """``(corpus, word, num_docs, num_docs_with_word)``: one row per word of a corpus.
 
-    The number of documents meets the vocabulary here, not the far longer list of pairs. A corpus
-    is split by the size of its vocabulary.
+    The number of documents meets the vocabulary here, not the far longer list of pairs. The
+    vocabulary of a corpus is dealt out too.
     """
-    words = frequency.groupBy("corpus").agg(F.count(F.lit(1)).alias("num_words"))
-    joined = lookup_join(frequency, sizes, ["corpus"], words, "num_words", pieces)
+    joined = _sized(frequency, sizes, pieces)
     return joined.select("corpus", "word", "num_docs", "num_docs_with_word")
 
 
+def _sized(words: DataFrame, sizes: DataFrame, pieces: int | None) -> DataFrame:
+    """Rows of words with the size of their corpus. Corpora are few, so more salts cost nothing."""
+    partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread_join(words.withColumnRenamed("salt", "own_salt"), sizes, ["corpus"], pieces or 4 * partitions).withColumnRenamed("own_salt", "salt")
+
+
+def frequency_table(dealt: DataFrame, sizes: DataFrame, pieces: int | None = None) -> DataFrame:
+    """``(corpus, word, salt, num_docs_with_word, num_docs)`` of pairs that are spread by word."""
+    return _sized(key_table(dealt, ["corpus", "word"], F.lit(1), "num_docs_with_word"), sizes, pieces)
+
+
 def icf_parts(
-    counts: DataFrame, frequency: DataFrame, sizes: DataFrame, pieces: int | None = None
+    counts: DataFrame, frequency: DataFrame | None, sizes: DataFrame, pieces: int | None = None
 ) -> DataFrame:
-    """``counts`` with ``num_docs`` and ``num_docs_with_word`` added to every row."""
-    table = word_table(frequency, sizes, pieces)
-    return lookup_join(counts, table, ["corpus", "word"], frequency, "num_docs_with_word", pieces)
+    """``counts`` with ``num_docs`` and ``num_docs_with_word`` added to every row.
+
+    ``counts`` holds a word once per document. Without ``frequency``, that of ``counts`` is found where
+    its rows meet the table of words anyway.
+    """
+    if frequency is not None:
+        return spread_join(counts, word_table(frequency, sizes, pieces), ["corpus", "word"], pieces)
+    dealt = spread(counts, ["corpus", "word"], pieces)
+    return join_spread(dealt, frequency_table(dealt, sizes, pieces), ["corpus", "word"])
 
 
 def scores(parts: DataFrame) -> DataFrame:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexiweight import operators as op
-from lexiweight.sinks import write_stage, write_table
-from lexiweight.sources.stages import scan_stage, scan_table
+from lexiweight.sinks import write_stage
+from lexiweight.sources.stages import scan_stage
+from lexiweight.storage import read_buckets, write_buckets
+
+BY_DOCUMENT, BY_WORD = ["corpus", "document", "salt"], ["corpus", "word", "salt"]
 
 
 def term_counts(
@@ -21,7 +25,7 @@ def term_counts(
     here: pass ``operators.whole_documents(corpus)`` to have it checked.
     """
     if one_row_per_document:
-        parts = op.sized_word_count(op.sized_tokens(corpus, profile))
+        parts = op.row_counts(corpus, profile)
         return parts, op.document_frequency(parts)
     counts = op.word_count(op.tokens(corpus, profile))
     return op.tf_parts(counts, pieces), op.document_frequency(counts)
@@ -46,8 +50,31 @@ def term_weights(
         sizes = op.corpus_size(corpus, one_row_per_document)
     elif one_row_per_document:
         corpus = op.whole_documents(corpus)
-    parts, frequency = term_counts(corpus, profile, one_row_per_document, pieces)
-    return op.scores(op.icf_parts(parts, frequency, sizes, pieces))
+    parts, _ = term_counts(corpus, profile, one_row_per_document, pieces)
+    return op.scores(op.icf_parts(parts, None, sizes, pieces))
+
+
+def counts_by_document(corpus: DataFrame, profile: str = "raw", pieces: int | None = None) -> DataFrame:
+    """``(corpus, document, salt, word, word_count)``, shuffled by its first three columns.
+
+    Each row of the corpus is counted by itself first; the words of a document are dealt out over salts
+    by word, so that a document of any length is counted by many tasks.
+    """
+    rows = op.row_counts(corpus, profile).select("corpus", "document", "word", "word_count")
+    dealt = op.spread(rows, ["corpus", "document"], pieces, by=["word"])
+    return dealt.groupBy(*BY_DOCUMENT, "word").agg(F.sum("word_count").alias("word_count"))
+
+
+def parts_of_counts(counts: DataFrame) -> DataFrame:
+    """``(corpus, document, word, word_count, doc_size)`` from a stage of ``counts_by_document``, whose rows
+    stay where they lie."""
+    return op.join_spread(counts, op.size_table(counts), ["corpus", "document"])
+
+
+def scores_of_parts(parts: DataFrame, sizes: DataFrame, pieces: int | None = None) -> DataFrame:
+    """``(corpus, document, word, score)`` from parts in buckets by word, whose rows stay where they lie."""
+    table = op.frequency_table(parts, sizes, pieces)
+    return op.scores(op.join_spread(parts, table, ["corpus", "word"])).select("corpus", "document", "word", "score")
 
 
 def term_weights_staged(
@@ -56,25 +83,38 @@ def term_weights_staged(
     profile: str = "raw",
     sizes: DataFrame | None = None,
     form: str = "parquet",
+    pieces: int | None = None,
 ) -> DataFrame:
     """``(corpus, document, word, score)``, each stage written below ``path`` and the next one
     started from the written copy.
 
     ``form`` is ``parquet``, or ``text`` for the tab-separated lines of ``sinks.write_stage``.
     ``path`` must be on storage that all workers share.
+
+    The Parquet stages ``word_count`` and ``tf_parts`` are in buckets, by document and by word. The pairs
+    are shuffled twice in all, on their way into either layout: what a stage joins with them comes to
+    where they lie. Names of corpora, documents and words are columns of any content. ``pieces`` is the
+    number of salts of ``operators.spread``.
     """
     spark = corpus.sparkSession
     sizes = op.corpus_size(corpus) if sizes is None else sizes
+    if form == "text":
 
-    def stage(table: DataFrame, name: str) -> DataFrame:
-        """Write and read back."""
-        if form == "text":
+        def stage(table: DataFrame, name: str) -> DataFrame:
             write_stage(table, name, f"{path}/{name}")
             return scan_stage(spark, f"{path}/{name}", name)
-        write_table(table, f"{path}/{name}")
-        return scan_table(spark, f"{path}/{name}", table.schema)
 
-    counts = stage(op.word_count(op.tokens(corpus, profile)), "word_count")
-    parts = stage(op.tf_parts(counts), "tf_parts")
-    weighted = op.scores(op.icf_parts(parts, op.document_frequency(parts), sizes))
-    return stage(weighted.select("corpus", "document", "word", "score"), "scores")
+        parts = stage(op.tf_parts(stage(op.word_count(op.tokens(corpus, profile)), "word_count")), "tf_parts")
+        weighted = op.scores(op.icf_parts(parts, None, sizes, pieces))
+        return stage(weighted.select("corpus", "document", "word", "score"), "scores")
+
+    def bucketed(table: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        write_buckets(table, f"{path}/{name}", keys)
+        return read_buckets(spark, f"{path}/{name}", table.schema, keys)
+
+    counts = bucketed(counts_by_document(corpus, profile, pieces), "word_count", BY_DOCUMENT)
+    by_word = op.spread(parts_of_counts(counts), ["corpus", "word"], pieces, by=["document"])
+    parts = bucketed(by_word, "tf_parts", BY_WORD)
+    scored = scores_of_parts(parts, sizes, pieces)
+    scored.write.mode("overwrite").parquet(f"{path}/scores")
+    return spark.read.schema(scored.schema).parquet(f"{path}/scores")

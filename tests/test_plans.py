@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiweight import operators as op
-from lexiweight import sources, term_weights
+from lexiweight import sources, storage, term_weights
 from lexiweight.operators import lookup
+from lexiweight.plans import pipeline
 
 
 @pytest.fixture()
@@ -25,7 +26,7 @@ def planned(df):
 
 def shuffles_of_words(df):
     """The distinct subtrees below the shuffles that split text, without expression ids."""
-    lines = re.sub(r"#\d+L?|plan_id=\d+|x_\d+", "", planned(df)).split("\n")
+    lines = re.sub(r"#\d+L?|plan_id=\d+|[xy]_\d+", "", planned(df)).split("\n")
     depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
     found = set()
     for i, line in enumerate(lines):
@@ -38,7 +39,7 @@ def shuffles_of_words(df):
             below.append(other.lstrip(" :+-*"))
         first_exchange = next((j for j, b in enumerate(below) if "Exchange" in b), len(below))
         own = below[:first_exchange]
-        if any("Generate explode" in b and b.endswith("[word]") for b in own):
+        if any("Generate explode" in b and b.endswith(("[word]", "[pair]")) for b in own):
             found.add("\n".join([line.lstrip(" :+-*"), *own]))
     return found
 
@@ -83,7 +84,10 @@ def test_text_is_split_once_at_run_time(documents, whole):
     weighted.toArrow()
     final = "".join(final_parts(weighted))
     assert "isFinalPlan=true" in final and "isFinalPlan=false" not in final
-    of_words = r"Exchange hashpartitioning\(corpus#\d+, document#\d+.*word#\d+, \d+\).*plan_id=(\d+)"
+    # Words counted in their row go straight to where frequencies are joined with them.
+    keys = r"corpus#\d+, word#\d+, salt#\d+" if whole else r"corpus#\d+, document#\d+.*word#\d+"
+    origin = "REPARTITION_BY_COL" if whole else "ENSURE_REQUIREMENTS"
+    of_words = rf"Exchange hashpartitioning\({keys}, \d+\), {origin}, \[plan_id=(\d+)"
     assert len(set(re.findall(of_words, final))) == 1
     assert "Python" not in final
 
@@ -148,6 +152,87 @@ def test_a_corpus_with_most_words_is_split(spark):
     assert max(r["count"] for r in sizes) < 5_000
 
 
+def splits(df):
+    return len(re.findall(r"Generate explode.*\[(?:word|pair)#\d+\]", planned(df)))
+
+
+def test_splits_without_shared_shuffles(spark, documents):
+    """Even where Spark may not share shuffles. A join of the pairs with their own sums reads them twice, and
+    the table of words, which is such a sum, is joined with the sizes of corpora in the same way."""
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert splits(term_weights(documents, "clean", True)) == 3
+        assert splits(term_weights(documents, "clean", False)) == 6
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_stages_stay_in_their_buckets(spark, documents, tmp_path):
+    """What is joined with a stage comes to its buckets; the pairs themselves are not shuffled."""
+
+    def bucketed(table, name, keys):
+        storage.write_buckets(table, f"{tmp_path}/{name}", keys)
+        return storage.read_buckets(spark, f"{tmp_path}/{name}", table.schema, keys)
+
+    counts = bucketed(pipeline.counts_by_document(documents, "clean"), "counts", pipeline.BY_DOCUMENT)
+    parts = pipeline.parts_of_counts(counts)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        exchanged = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", planned(parts))
+        names = [re.sub(r"#\d+", "", e) for e in exchanged]
+        # The sums of each bucket by document, and their way back.
+        assert sorted(names) == ["corpus, document", "corpus, document, salt"]
+        assert planned(parts).count("Bucketed: true") == 2
+        by_word = op.spread(parts, ["corpus", "word"], by=["document"])
+        written = bucketed(by_word, "parts", pipeline.BY_WORD)
+        scored = pipeline.scores_of_parts(written, op.corpus_size(documents))
+        plan = planned(scored)
+        pairs = [line for line in plan.split("\n") if "Exchange" in line and "document" in line and "word" in line]
+        assert pairs == [] and "Bucketed: true" in plan
+        assert scored.count() == term_weights(documents, "clean").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_buckets_leave_nothing_in_the_catalog(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id").cast("string").alias("a b`c"), (F.col("id") % 3).alias("n"))
+    before = len(spark.catalog.listTables())
+    rows = rows.withColumnRenamed("a b`c", "name")
+    for _ in range(2):  # the second run replaces the first
+        storage.write_buckets(rows, f"{tmp_path}/it's", ["n"])
+    back = storage.read_buckets(spark, f"{tmp_path}/it's", rows.schema, ["n"])
+    assert sorted(back.collect()) == sorted(rows.collect())
+    assert len(spark.catalog.listTables()) == before
+    assert "Exchange" not in planned(back.groupBy("n").count())
+
+
+def test_a_key_of_all_rows_is_spread(spark):
+    """One word in 100,000 documents, and a document of 100,000 words, over all tasks."""
+    words = spark.range(100_000).select(F.lit("c").alias("corpus"), F.col("id").cast("string").alias("document"), F.lit("w").alias("word"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rows, keys in ((words, ["corpus", "word"]), (words.select("corpus", F.col("document").alias("word"), F.lit("d").alias("document")), ["corpus", "document"])):
+            sizes = op.spread(rows, keys, 16).groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r["count"] for r in sizes) == 100_000
+            assert max(r["count"] for r in sizes) < 100_000 // 2 and len(sizes) >= 5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("most", [10, 10_000])
+def test_a_broadcast_beyond_its_bound_fails(spark, most):
+    rows = spark.range(1000).select((F.col("id") % 100).cast("string").alias("key"), "id")
+    table = spark.range(100).select(F.col("id").cast("string").alias("key"), F.lit("value").alias("value"))
+    joined = op.broadcast_lookup(rows, table, ["key"], most)
+    if most == 10:
+        with pytest.raises(Exception, match="690 bytes, more than 10"):
+            joined.collect()
+    else:
+        assert joined.count() == 1000 and "BroadcastHashJoin" in planned(joined)
+    empty = op.broadcast_lookup(rows, table.limit(0), ["key"], most)
+    assert empty.count() == 0
+
+
 def test_library_has_no_driver_side_work():
     package = Path(__file__).resolve().parents[1] / "lexiweight"
     own = [f for f in package.rglob("*.py") if "llm" not in f.parts]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexiweight import operators as op
 from lexiweight import term_counts, term_weights, term_weights_staged
 from lexiweight.operators import lookup
+from lexiweight.plans import merged_documents, merged_frequency, merged_size, merged_weights, write_slice
 
 
 def random_rows(seed, hot=False):
@@ -207,3 +208,48 @@ def test_broken_promise_fails(corpus, sizes):
 def test_empty_corpus(corpus):
     assert term_weights(corpus([])).collect() == []
     assert term_weights(corpus([("c", "d", "")])).collect() == []
+
+
+@pytest.mark.parametrize("profile", ["raw", "raw_java", "clean"])
+def test_words_counted_in_their_row(corpus, profile):
+    """The same counts as by grouping, for texts of any form."""
+    texts = ["", " ", "a", "a a a", "b a b a", "A b\tC\na", " x", "é é e", None, "w " * 500, "\x01 \x02 a@b"]
+    documents = corpus([(f"c{i % 2}", f"d{i}", t) for i, t in enumerate(texts)])
+    sized = op.sized_word_count(op.sized_tokens(documents, profile))
+    own = op.row_counts(documents, profile).select(*sized.columns)
+    assert sorted(own.collect()) == sorted(sized.collect())
+
+
+def test_slices_add_up(spark, corpus, tmp_path):
+    """Slices that are counted apart give what the whole gives; adding one counts only its documents."""
+    rows = random_rows(11)
+    names = sorted({(c, d) for c, d, _ in rows})
+    part = {name: i % 3 for i, name in enumerate(names)}
+    paths = [str(tmp_path / f"slice-{i}") for i in range(3)]
+    for i, path in enumerate(paths):
+        write_slice(corpus([r for r in rows if part[r[:2]] == i]), path)
+    for n in (1, 2, 3):
+        whole = corpus([r for r in rows if part[r[:2]] < n])
+        frequency = op.document_frequency(op.word_count(op.tokens(whole)))
+        assert sorted(merged_frequency(spark, paths[:n]).collect()) == sorted(frequency.collect())
+        assert sorted(merged_size(spark, paths[:n]).collect()) == sorted(op.corpus_size(whole).collect())
+        weighted = merged_weights(spark, paths[:n])
+        assert_same(as_dict(weighted), as_dict(term_weights(whole)))
+
+
+def test_a_document_in_two_slices_fails(spark, corpus, tmp_path):
+    paths = [str(tmp_path / name) for name in ("one", "two")]
+    for path in paths:
+        write_slice(corpus([("c", "same", "a b"), ("c", path, "x")]), path)
+    for merged in (merged_documents, merged_frequency, merged_size, merged_weights):
+        with pytest.raises(Exception, match="several slices have the document same"):
+            merged(spark, paths).collect()
+
+
+def test_empty_slices(spark, corpus, tmp_path):
+    paths = [str(tmp_path / name) for name in ("none", "blank")]
+    write_slice(corpus([]), paths[0])
+    write_slice(corpus([("c", "d", None), ("c", "e", " ")]), paths[1])
+    assert merged_frequency(spark, paths).collect() == []
+    assert [tuple(r) for r in merged_size(spark, paths).collect()] == [("c", 2)]
+    assert merged_weights(spark, paths).collect() == []

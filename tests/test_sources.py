@@ -209,6 +209,35 @@ def test_report_is_sorted_by_the_whole_key(spark, corpus, tmp_path):
     assert any(k.startswith(b"doc1") for k in keys)
 
 
+@pytest.mark.parametrize("split", [None, "300"])
+def test_lines_of_a_report_are_numbered(spark, corpus, tmp_path, split):
+    """The rank of a line is its place in the order of the keys' bytes, however its file is read."""
+    rows = [(c, f"doc{d}", " ".join(f"{w}{d % 3}" for w in "b a Z é 0 zz".split())) for c, n in (("x", 40), ("007", 3), ("@", 1)) for d in range(n)]
+    path = str(tmp_path / "report")
+    sinks.write_sorted_report(term_weights(corpus(rows)), path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        if split:
+            for n, v in zip(names, (split, "0"), strict=True):
+                spark.conf.set(n, v)
+        found = sources.scan_report(spark, path).collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    for name in ("x", "007", "@"):
+        keys = sorted(f"{d}@{w}".encode() for c, d, text in rows if c == name for w in text.split())
+        assert [(r.rank, r.key.encode()) for r in sorted(found, key=lambda r: r.rank) if r.corpus == name] == list(enumerate(keys, 1))
+    assert all(r.score >= 0 for r in found)
+
+
+def test_malformed_report_lines_fail(spark, tmp_path):
+    (tmp_path / "corpus=c").mkdir()
+    (tmp_path / "corpus=c" / "part-0").write_text("doc@word\tmany\n")
+    with pytest.raises(Exception, match="not a line of this stage"):
+        sources.scan_report(spark, str(tmp_path)).collect()
+
+
 @pytest.mark.parametrize("write", ["stage", "table"])
 def test_number_of_files_follows_the_data(spark, corpus, tmp_path, write):
     rows = [(f"c{i % 50}", f"d{i}", f"w{i}") for i in range(2000)]
