@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexiweight.llm import words as W
 from lexiweight.llm.shared import saved, ship
-from lexiweight.operators import lookup_join
+from lexiweight.operators import spread_join
 
 # Words of a phrase at most, occurrences at least, and phrases of a language that are reported.
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
@@ -21,6 +22,8 @@ MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 NO_LANGUAGE = "und"
 # Texts whose stripes are merged in a task before they are passed on, in bytes.
 PORTION_BYTES = 8 << 20
+# Pairs of words that a task counts by hash before it passes them on, and that a bucket holds.
+PORTION = 1 << 22
 # Bits of the filter of frequent phrases that goes to the tasks: from 64 Kbit up, 2 MB at most.
 MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 16, 1 << 24
 
@@ -34,7 +37,8 @@ _BLANK_ONLY[0x20] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 0x20
 
-_STRIPES = "lang string, prefix string, words array<string>, counts array<bigint>"
+_STRIPES = "lang string, prefixes array<string>, words array<string>, counts array<bigint>"
+_HASHED = "bucket int, keys binary, counts binary"
 
 
 def _language_hashes(names: pa.Array) -> np.ndarray:
@@ -53,15 +57,41 @@ def _phrase_hashes(hashes: np.ndarray, size: int, language: np.ndarray) -> np.nd
         return W.mix(own ^ language[: len(own)] * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _bits_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Filter:
+    """Two bits for each phrase of a set, found by the leading bits of its hash: a phrase that lacks one
+    of them is not in the set."""
+
+    table: np.ndarray
+    shift: int
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        one, two = _bits_of(hashes, self.shift, 8 * len(self.table))
+        return ((self.table[one >> 3] >> (one & 7)) & (self.table[two >> 3] >> (two & 7)) & 1).astype(bool)
+
+
+def _bits_of(hashes: np.ndarray, shift: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    code = W.mix(hashes >> np.uint64(shift))
     mask = np.uint64(bits - 1)
-    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
+    return (code & mask).astype(np.int64), ((code >> np.uint64(32)) & mask).astype(np.int64)
+
+
+def _set_bits(hashes: np.ndarray, shift: int, bits: int) -> pa.RecordBatch:
+    place = np.unique(np.concatenate(_bits_of(hashes, shift, bits)))
+    return pa.RecordBatch.from_arrays([pa.array(place >> 3), pa.array((1 << (place & 7)).astype(np.int32))], names=["byte", "bit"])
+
 
+def _gathered(bytes_and_bits: DataFrame, shift: int, bits: int) -> Filter:
+    """A filter from the bits that tasks set, combined by Spark: the driver gets a row for each byte of
+    the filter at most."""
+    rows = bytes_and_bits.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits // 8, np.uint8)
+    table[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy()
+    return Filter(table, shift)
 
-def _filter(frequent: DataFrame, size: int) -> np.ndarray:
-    """Bits set for all phrases of ``size`` words of a table ``(lang, phrase)``: a phrase without its
-    two bits is not among them. The tasks send the numbers of the bits' bytes, combined by Spark, so
-    the driver gets a row for each byte of the filter at most."""
+
+def _filter(frequent: DataFrame, size: int) -> Filter:
+    """The filter of the phrases of ``size`` words of a table ``(lang, phrase)``."""
     wanted = 1 << (16 * max(1, frequent.count()) - 1).bit_length()
     bits = min(max(wanted, MIN_FILTER_BITS), MAX_FILTER_BITS)
 
@@ -72,80 +102,159 @@ def _filter(frequent: DataFrame, size: int) -> np.ndarray:
                 found = W.split(block, _BLANK_ONLY)
                 at = W.whole_windows(found, size)
                 own = language[block.rows.start + found.doc]
-                hashes = _phrase_hashes(W.word_hashes(block, found), size, own)[at]
-                place = np.unique(np.concatenate(_bits_of(hashes, bits)))
-                yield pa.RecordBatch.from_arrays([pa.array(place >> 3), pa.array((1 << (place & 7)).astype(np.int32))], names=["byte", "bit"])
-
-    set_bits = frequent.select("lang", "phrase").mapInArrow(find, "byte bigint, bit int")
-    rows = set_bits.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(bits // 8, np.uint8)
-    table[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy()
-    return table
-
-
-def _may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    one, two = _bits_of(hashes, 8 * len(table))
-    return ((table[one >> 3] >> (one & 7)) & (table[two >> 3] >> (two & 7)) & 1).astype(bool)
-
-
-def _stripes(docs: DataFrame, size: int, known: np.ndarray | None) -> DataFrame:
-    """Stripes ``(lang, prefix, words, counts)`` of phrases of ``size`` words: for the first words of a
-    phrase, an associative counter of the word that follows. Each is merged over a portion of texts.
+                yield _set_bits(_phrase_hashes(W.word_hashes(block, found), size, own)[at], 0, bits)
+
+    return _gathered(frequent.select("lang", "phrase").mapInArrow(find, "byte bigint, bit int"), 0, bits)
+
+
+@dataclass
+class Text:
+    """The words of a block, lower-cased: hashes, the language of each, and the piece it is in."""
+
+    block: W.Block
+    found: W.Words
+    hashes: np.ndarray
+    language: np.ndarray
+    own: np.ndarray
+    piece: np.ndarray
+
+    def phrases(self, size: int, known: Filter | None = None, words: int = 0) -> np.ndarray:
+        """Where phrases of ``size`` words start, whose first and last ``words`` are in the filter."""
+        n = max(0, len(self.hashes) - size + 1)
+        doc, piece = self.found.doc, self.piece
+        at = np.flatnonzero((doc[:n] == doc[size - 1 :]) & (piece[:n] == piece[size - 1 :])) if n else np.zeros(0, np.int64)
+        if known is not None and len(at):
+            frequent = known.may_hold(_phrase_hashes(self.hashes, words, self.language[self.own]))
+            at = at[frequent[at] & frequent[at + size - words]]
+        return at
+
+
+def _texts(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[Text, pa.Array]]:
+    """The texts of a batch in blocks, and the names of the languages."""
+    coded = batch.column("lang").dictionary_encode()
+    code, language = coded.indices.to_numpy(), _language_hashes(coded.dictionary)
+    for block in W.blocks(batch.column("text"), limit):
+        lower = W.Block(block.rows, _LOWER[block.data], block.offsets)
+        found = W.split(lower, _SEPARATOR)
+        own = code[block.rows.start : block.rows.stop][found.doc]
+        yield Text(lower, found, W.word_hashes(lower, found), language, own, np.cumsum(_END[lower.data])[found.start]), coded.dictionary
+
+
+def _likely_pairs(docs: DataFrame, known: Filter, least: int) -> Filter:
+    """The filter of all pairs of words that occur ``least`` times, and of few others: those that share
+    32 bits and the bucket of their hash with such pairs.
+
+    Nearly all pairs are rare; they travel as four bytes and a count instead of words. A count is passed
+    on up to ``least``, which decides as well as the whole.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(5, (size // 6 // PORTION).bit_length())
+    model = docs.sparkSession.sparkContext.broadcast(known)
+    kind = np.uint8 if least < 256 else np.uint32
+
+    def emit(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, counts = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        counts = np.minimum(counts, least).astype(kind)
+        bucket = (keys >> np.uint64(32)).astype(np.int64)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 40))
+        low = keys.astype(np.uint32)
+        spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[edges[:-1]], pa.int32()),
+                pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary()),
+            ],
+            names=["bucket", "keys", "counts"],
+        )
 
-    ``known`` is the filter of frequent phrases of ``size`` - 1 words; a phrase whose first or last
-    words are not in it cannot be frequent and is not counted.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for text, _ in _texts(batch, PORTION_BYTES):
+                at = text.phrases(2, model.value, 1)
+                if len(at):
+                    hashes = _phrase_hashes(text.hashes, 2, text.language[text.own])[at]
+                    parts.append(np.unique(hashes >> np.uint64(32 - bits), return_counts=True))
+                    held += len(parts[-1][0])
+                if held >= PORTION:
+                    yield from emit(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from emit(parts)
+
+    def add(table: pa.Table) -> pa.Table:
+        bucket = np.uint64(table.column("bucket")[0].as_py())
+        keys = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
+        counts = [np.frombuffer(x.as_py(), kind) for x in table.column("counts")]
+        key, total = _summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
+        frequent = key[total >= least].astype(np.uint64) | (bucket << np.uint64(32))
+        # As leading bits of a hash, from which the filter takes its bits.
+        return pa.Table.from_batches([_set_bits(frequent << np.uint64(32 - bits), 32 - bits, MAX_FILTER_BITS)])
+
+    found = docs.mapInArrow(count, _HASHED).groupBy("bucket").applyInArrow(add, "byte bigint, bit int")
+    return _gathered(found, 32 - bits, MAX_FILTER_BITS)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sum of the counts of each."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts.astype(np.int64), first)
+
+
+def _stripes(docs: DataFrame, sizes: list[int], known: Filter | None = None, words: int = 0) -> DataFrame:
+    """Stripes of phrases of each of ``sizes`` words: for the first words of a phrase, an associative
+    counter of the words that follow. A row ``(lang, prefixes, words, counts)`` has all entries of a
+    portion of texts.
+
+    ``known`` is a filter of the frequent phrases of ``words`` words. A phrase whose first or last ones
+    are not in it cannot be frequent and is not counted.
     """
-    table = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
+    model = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = batch.column("lang").dictionary_encode()
-            names, code = coded.dictionary, coded.indices.to_numpy()
-            language = _language_hashes(names)
-            for block in W.blocks(batch.column("text"), PORTION_BYTES):
-                yield from portion(W.Block(block.rows, _LOWER[block.data], block.offsets), names, code[block.rows.start : block.rows.stop], language)
-
-    def portion(block: W.Block, names: pa.Array, code: np.ndarray, language: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = W.split(block, _SEPARATOR)
-        if len(found.start) < size:
-            return
-        hashes = W.word_hashes(block, found)
-        piece = np.cumsum(_END[block.data])[found.start]
-        own = code[found.doc]
-        n = len(hashes) - size + 1
-        at = np.arange(n)
-        at = at[(found.doc[:n] == found.doc[size - 1 :]) & (piece[:n] == piece[size - 1 :])]
-        if table is not None:
-            frequent = _may_hold(table.value, _phrase_hashes(hashes, size - 1, language[own]))
-            at = at[frequent[at] & frequent[at + 1]]
-        if not len(at):
-            return
+            for text, names in _texts(batch, PORTION_BYTES):
+                for size in sizes:
+                    at = text.phrases(size, model.value, words)
+                    if len(at):
+                        yield portion(text, names, size, at)
+
+    def portion(text: Text, names: pa.Array, size: int, at: np.ndarray) -> pa.RecordBatch:
+        block, found = text.block, text.found
         # Numbers of the different words of a language, and of the prefixes made up of them.
+        used, word = np.unique((at[:, None] + np.arange(size)).ravel(), return_inverse=True)
         with np.errstate(over="ignore"):
-            keys = hashes ^ W.mix((own + 1).astype(np.uint64))
-        _, first, word = np.unique(keys, return_index=True, return_inverse=True)
+            keys = text.hashes[used] ^ W.mix((text.own[used] + 1).astype(np.uint64))
+        _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+        word = number[word].reshape(-1, size)
         distinct = len(first)
-        prefix = own[at].astype(np.int64)
+        prefix = text.own[at].astype(np.int64)
         for i in range(size - 1):
-            prefix = np.unique(prefix * distinct + word[at + i], return_inverse=True)[1]
-        phrase, example, counts = np.unique(prefix * distinct + word[at + size - 1], return_index=True, return_counts=True)
+            prefix = np.unique(prefix * distinct + word[:, i], return_inverse=True)[1]
+        _, example, counts = np.unique(prefix * distinct + word[:, -1], return_index=True, return_counts=True)
         raw = block.data.tobytes()
-        # Only words of counted phrases are cut out.
-        used, place = np.unique(word[(at[example][:, None] + np.arange(size)).ravel()], return_inverse=True)
-        spelled = pa.array([raw[a:b] for a, b in zip(found.start[first[used]].tolist(), found.end[first[used]].tolist(), strict=True)], pa.binary()).cast(pa.string())
-        place = place.reshape(-1, size)
-        heads = np.flatnonzero(np.append(True, phrase[1:] // distinct != phrase[:-1] // distinct))
-        prefixes = [spelled.take(pa.array(place[heads, i])) for i in range(size - 1)]
-        lengths = np.diff(np.append(heads, len(phrase)))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
+        spelled = [raw[a:b] for a, b in zip(found.start[used[first]].tolist(), found.end[used[first]].tolist(), strict=True)]
+        spelled = pa.array(spelled, pa.binary()).cast(pa.string())
+        # The entries of one language after the other.
+        own = text.own[at[example]]
+        order = np.argsort(own, kind="stable")
+        own, example, counts = own[order], example[order], counts[order]
+        edges = np.flatnonzero(np.diff(own, prepend=-1, append=1 << 30))
+        offsets = pa.array(edges.astype(np.int32))
+        prefixes = [spelled.take(pa.array(word[example, i])) for i in range(size - 1)]
+        return pa.RecordBatch.from_arrays(
             [
-                names.take(pa.array(own[at[example[heads]]])),
-                pc.binary_join_element_wise(*prefixes, " ") if prefixes else pa.array([""] * len(heads)),
-                pa.ListArray.from_arrays(offsets, spelled.take(pa.array(place[:, -1]))),
+                names.take(pa.array(own[edges[:-1]])),
+                pa.ListArray.from_arrays(offsets, pc.binary_join_element_wise(*prefixes, " ") if prefixes else pa.array([""] * len(own))),
+                pa.ListArray.from_arrays(offsets, spelled.take(pa.array(word[example, -1]))),
                 pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
             ],
-            names=["lang", "prefix", "words", "counts"],
+            names=["lang", "prefixes", "words", "counts"],
         )
 
     return docs.mapInArrow(count, _STRIPES)
@@ -154,7 +263,8 @@ def _stripes(docs: DataFrame, size: int, known: np.ndarray | None) -> DataFrame:
 def _merged(stripes: DataFrame) -> DataFrame:
     """``(lang, prefix, word, count)``: stripes of a prefix added up word by word. A stripe stays spread
     over rows, so no task holds all that follows a frequent prefix."""
-    entries = stripes.select("lang", "prefix", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("part"))))
+    columns = (F.col("prefixes").alias("prefix"), F.col("words").alias("word"), F.col("counts").alias("part"))
+    entries = stripes.select("lang", F.inline(F.arrays_zip(*columns)))
     return entries.groupBy("lang", "prefix", "word").agg(F.sum("part").alias("count"))
 
 
@@ -166,24 +276,31 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX
     """``(lang, size, prefix, word, phrase, count)`` of all phrases of up to ``longest`` words that occur
     ``least`` times, and ``(lang, n)``, the number of words of each language.
 
-    One pass for each length: the merged stripes of the frequent phrases, all of whose parts
-    are frequent too, become a filter for the next one. The filter has a bounded number of bits; it
-    only saves work, as counts are exact. Both tables lie in the shared folder.
+    Words are counted first. Pairs of frequent words are then counted by hash; the frequent ones are a
+    filter for the stripes of phrases of two and three words, and the merged stripes of the
+    frequent phrases of each length become a filter for the next one. The filters have a bounded number
+    of bits; they only save work, as what is counted in stripes is exact. Both tables lie in the
+    shared folder.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col("text").cast("string").alias("text"))
     texts = texts.filter(F.col("text").isNotNull())
-    levels, known, sizes = [], None, None
-    for size in range(1, longest + 1):
-        counted = _merged(_stripes(texts, size, known))
-        if size == 1:
-            counted = saved(counted, "words")
-            sizes = saved(counted.groupBy("lang").agg(F.sum("count").alias("n")), "languages")
-        frequent = counted.filter(F.col("count") >= least).select("lang", F.lit(size).alias("size"), "prefix", "word", _phrase(), "count")
-        levels.append(saved(frequent, f"phrases-{size}"))
-        if size < longest:
-            known = _filter(levels[-1], size)
-    return reduce(DataFrame.unionByName, levels), sizes
+
+    def frequent(counted: DataFrame, size: Column, name: str) -> DataFrame:
+        often = counted.filter(F.col("count") >= least).select("lang", size.alias("size"), "prefix", "word", _phrase(), "count")
+        return saved(often, name)
+
+    words = saved(_merged(_stripes(texts, [1])), "words")
+    sizes = saved(words.groupBy("lang").agg(F.sum("count").alias("n")), "languages")
+    tables = [frequent(words, F.lit(1), "phrases-1")]
+    if longest > 1:
+        pairs = _likely_pairs(texts, _filter(tables[0], 1), least)
+        both = _merged(_stripes(texts, [2, 3][: longest - 1], pairs, 2))
+        tables.append(frequent(both, F.size(F.split("prefix", " ")) + 1, "phrases-2-3"))
+    for size in range(4, longest + 1):
+        known = _filter(tables[-1].filter(F.col("size") == size - 1), size - 1)
+        tables.append(frequent(_merged(_stripes(texts, [size], known, size - 1)), F.lit(size), f"phrases-{size}"))
+    return reduce(DataFrame.unionByName, tables), sizes
 
 
 def _parts(phrase: Column, cut: Column) -> tuple[Column, Column]:
@@ -194,9 +311,8 @@ def _parts(phrase: Column, cut: Column) -> tuple[Column, Column]:
 
 def _looked_up(rows: DataFrame, table: DataFrame, part: str, name: str) -> DataFrame:
     """``rows`` with the count of the phrase in column ``part`` as ``name``."""
-    asked = rows.groupBy("lang", part).agg(F.count(F.lit(1)).alias("times"))
     counts = table.select("lang", F.col("phrase").alias(part), F.col("count").alias(name))
-    return lookup_join(rows, counts, ["lang", part], asked, "times")
+    return spread_join(rows, counts, ["lang", part])
 
 
 def collocations(
@@ -227,12 +343,12 @@ def collocations(
     candidates = longer.join(held, ["lang", "phrase"], "left").filter(
         F.coalesce(F.lit(100) * F.col("longer") < F.lit(percent) * F.col("count"), F.lit(True))
     )
+    candidates = saved(candidates, "candidates")
     cuts = candidates.select("lang", "phrase", F.col("count").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     first, rest = _parts(F.col("phrase"), F.col("k"))
     cuts = cuts.withColumns({"first": first, "rest": rest})
     cuts = _looked_up(_looked_up(cuts, phrases, "first", "l"), phrases, "rest", "r")
-    # One row for each language of the corpus.
-    cuts = lookup_join(cuts, sizes, ["lang"], candidates.groupBy("lang").agg((F.lit(longest) * F.count(F.lit(1))).alias("times")), "times")
+    cuts = spread_join(cuts, sizes, ["lang"])
     wide = {c: F.col(c).cast("decimal(19,0)") for c in ("a", "n", "l", "r")}
     thousand = (wide["a"] * F.lit(1000).cast("decimal(4,0)")).cast("decimal(19,0)")
     score = F.call_function("div", thousand * wide["n"], wide["l"] * wide["r"])
