@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: i
     count = F.aggregate(F.sequence(F.lit(1), F.col("target.parts")), F.lit(0), draw)
     copies = row.withColumn("copies", count).filter("copies > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    copies = copies.withColumn("place", F.xxhash64(F.lit(seed), name, "copy"))
+    copies = copies.withColumn("place", F.xxhash64(F.lit(seed), name, "copy", F.xxhash64("row")))
     shuffled = copies.select("row", "copy", "place").repartition(F.col("place")).sortWithinPartitions(F.xxhash64("place"))
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "copy"]
     return shuffled.select(*kept, "copy")

@@ -117,8 +117,9 @@ def _axes(x: np.ndarray, dimensions: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL) -> Space:
     """Learn the space from a bounded sample: at most ``per_label`` training documents of each label.
 
-    Term counts of the sample, at most ``2 * per_label`` rows of ``TERMS`` numbers, come to the
-    driver; frequencies of the terms are those of the sample, which are part of the fitted model.
+    Term counts of the sample, at most ``2 * per_label`` rows of ``TERMS`` numbers, come to one task, which
+    learns the space; the driver gets the axes and the labelled vectors only. Frequencies of the terms
+    are those of the sample, which are part of the fitted model.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,21 +140,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
                     names=["doc_id", "label", "cells"],
                 )
 
-    rows = sample(docs, labels, label, per_label).mapInArrow(count, "doc_id bigint, label int, cells binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.label))
-    x = np.zeros((len(rows), TERMS), np.float32)
-    for i, row in enumerate(rows):
-        term, value = np.frombuffer(row.cells, np.uint16).reshape(2, -1)
-        x[i, term] = value
-    known = np.array([r.label for r in rows], np.float64)
-    frequency = np.count_nonzero(x, axis=0)
-    idf = np.log((1 + len(x)) / (1 + frequency)).astype(np.float32) + np.float32(1)
-    space = Space(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), known)
-    if len(x):
-        weighed = space.weigh(x)
-        space.axes = _axes(weighed, DIMENSIONS)
-        space.vectors = _unit(weighed @ space.axes)
-    return space
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["doc_id"], r["label"], r["cells"]) for batch in batches for r in batch.to_pylist())
+        if not rows:
+            return
+        x = np.zeros((len(rows), TERMS), np.float32)
+        for i, (_, _, cells) in enumerate(rows):
+            term, value = np.frombuffer(cells, np.uint16).reshape(2, -1)
+            x[i, term] = value
+        known = np.array([own for _, own, _ in rows], np.float64)
+        frequency = np.count_nonzero(x, axis=0)
+        idf = np.log((1 + len(x)) / (1 + frequency)).astype(np.float32) + np.float32(1)
+        weighed = Space(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), known).weigh(x)
+        axes = _axes(weighed, DIMENSIONS)
+        parts = (idf, axes, _unit(weighed @ axes), known)
+        yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=["idf", "axes", "vectors", "labels"])
+
+    counted = sample(docs, labels, label, per_label).mapInArrow(count, "doc_id bigint, label int, cells binary")
+    fitted = counted.repartition(1).mapInArrow(learn, "idf binary, axes binary, vectors binary, labels binary").first()
+    if fitted is None:
+        return Space(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+    idf, axes, vectors = (np.frombuffer(fitted[c], np.float32) for c in ("idf", "axes", "vectors"))
+    known = np.frombuffer(fitted["labels"], np.float64)
+    return Space(idf, axes.reshape(TERMS, -1), vectors.reshape(len(known), -1), known)
 
 
 def score(docs: DataFrame, space: Space, carry: list[str] | None = None) -> DataFrame:

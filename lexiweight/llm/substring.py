@@ -269,7 +269,20 @@ def _match_windows(key: tuple, table: pa.Table) -> pa.Table:
     return _answer(table, ids, keys)
 
 
-def _remove(window: int):
+def _cut(block: W.Block, found: W.Words, gone: np.ndarray) -> pa.Array:
+    """The texts of a block without the words that are gone and what separates them from the next word;
+    all else stays as it is."""
+    after = np.append(found.start[1:], len(block.data))[: len(found.start)]
+    after = np.minimum(after, block.offsets[found.doc + 1])
+    edge = np.zeros(len(block.data) + 1, np.int64)
+    np.add.at(edge, found.start[gone], 1)
+    np.subtract.at(edge, after[gone], 1)
+    stays = np.cumsum(edge)[:-1] == 0
+    offsets = np.concatenate([[0], np.cumsum(stays)])[block.offsets].astype(np.int32)
+    return pa.StringArray.from_buffers(len(block.rows), pa.py_buffer(offsets), pa.py_buffer(block.data[stays]))
+
+
+def _remove(window: int, whole: bool):
     """Words left after the removal of all words that a listed window covers."""
 
     def block_of(block: W.Block, listed: pa.Array | None) -> list[pa.Array]:
@@ -283,14 +296,16 @@ def _remove(window: int):
             np.add.at(cover, start, 1)
             np.add.at(cover, start + window, -1)
             gone = np.cumsum(cover)[:-1] > 0
+        removed = np.bincount(found.doc[gone], minlength=len(block.rows)).astype(np.int64)
+        if whole:
+            return [pa.array(found.count), pa.array(removed), _cut(block, found, gone)]
         raw = block.data.tobytes()
         words = [raw[a:b] for a, b in zip(found.start[~gone].tolist(), found.end[~gone].tolist(), strict=True)]
-        removed = np.bincount(found.doc[gone], minlength=len(block.rows))
         edges = np.concatenate([[0], np.cumsum(found.count - removed)]).tolist()
         kept = [b" ".join(words[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return [
             pa.array(found.count),
-            pa.array(removed.astype(np.int64)),
+            pa.array(removed),
             pa.array(kept, pa.binary()).cast(pa.string()),
         ]
 
@@ -341,13 +356,16 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return around.groupBy("bucket").applyInArrow(_match_windows, _HITS)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None, whole: bool = False
+) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept, row)``: each document without passages of earlier ones.
 
     Words are the runs of characters other than blank, tab, line feed, vertical tab, form feed
     and carriage return. A word goes if any window of ``window`` words that covers it starts, with
     the same words, in a document with a smaller ``doc_id`` too; ``kept`` joins the rest by
-    blanks. ``row`` is a struct of the columns named in ``carry``, unchanged.
+    blanks, or with ``whole`` is the text from which only those words are cut, each with what separates
+    it from the next. ``row`` is a struct of the columns named in ``carry``, unchanged.
 
     A null text has no words. A row without ``doc_id`` has no place in the order: it keeps all
     its words and takes none from others. Rows with the same ``doc_id`` take nothing from each
@@ -363,9 +381,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
     result = T.StructType([*result.fields, T.StructField("row", texts.schema["row"].dataType)])
     listed, few = _listed(earlier_windows(docs, window), "repeats")
     if few is None:
-        return texts.join(listed, "doc_id", "left").mapInArrow(_remove(window), result)
+        return texts.join(listed, "doc_id", "left").mapInArrow(_remove(window, whole), result)
     with_repeats = texts.join(few, "doc_id", "left_semi").join(listed, "doc_id")
     others = texts.join(few, "doc_id", "left_anti")
-    return with_repeats.mapInArrow(_remove(window), result).unionByName(
-        others.mapInArrow(_remove(window), result)
+    return with_repeats.mapInArrow(_remove(window, whole), result).unionByName(
+        others.mapInArrow(_remove(window, whole), result)
     )
