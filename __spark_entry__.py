@@ -315,7 +315,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "word_count_clean_odd": lambda s, d: op.word_count(op.tokens(_odd_documents(s, d), "clean")),
         "key_parts": _key_parts,
     }
-    return {name: _with_folder(query) for name, query in (_training_data()[0] | own).items()}
+    return _training_data()[0] | {name: _with_folder(query) for name, query in own.items()}
 
 
 def entry(spark: SparkSession) -> DataFrame:
