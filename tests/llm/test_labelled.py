@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -126,3 +127,73 @@ def test_grams_stay_within_their_text():
     # Texts get a blank on either side: 'ab ' of the third has one more, all else is equal.
     assert set(grams[0]) <= set(grams[2])
     assert [sum(g.values()) for g in grams] == [3, 0, 6, 1]
+
+
+def brute_grams(text):
+    """The n-grams of a text as byte strings, each once."""
+    data = b" " + bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in (text or "").encode()) + b" "
+    return {data[i : i + n] for n in toxicity.LENGTHS for i in range(len(data) - n + 1)}
+
+
+def test_ratios_features_and_weights_equal_brute_force(labelled, monkeypatch):
+    """The classifier from counts of byte strings, with a plain regression: the same n-grams, up to
+    hash collisions, the same ratios, and the minimum of the same loss."""
+    docs, labels = labelled
+    monkeypatch.setattr(toxicity, "FEATURES", 300)
+    model = toxicity.fit(docs, labels, "toxic")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = sorted((r.doc_id, r.toxic) for r in labels.collect() if not is_held_out(r.doc_id))
+    grams = [brute_grams(texts[d]) for d, _ in known]
+    y = np.array([v for _, v in known], float)
+    counts = {}
+    for own, v in zip(grams, y.astype(int), strict=True):
+        for g in own:
+            counts.setdefault(g, [0, 0])[v] += 1
+    size = [len(y) - y.sum(), y.sum()]
+
+    def gain(q, p):
+        share = (p + q) / sum(size)
+        cells = [(own, n * s) for n, k in zip(size, (q, p), strict=True) for own, s in ((k, share), (n - k, 1 - share))]
+        return sum(a * math.log(max(a, 1e-9) / max(e, 1e-9)) for a, e in cells)
+
+    def codes_of(gram):
+        # A lone n-gram, found in a text of its own without the blanks at the ends.
+        (block,) = W.blocks(pa.array([gram.strip(b" ").decode(errors="ignore") or " "]))
+        return {int(c) for codes, _ in toxicity._grams(block) for c in codes}
+
+    ranked = sorted(counts, key=lambda g: -gain(*counts[g]))
+    chosen = np.flatnonzero(model.weights)
+    # The clearest n-grams (those of the planted words) are features, with the sign of their ratio.
+    for g in [g for g in ranked[:60] if b" " not in g]:
+        q, p = counts[g]
+        ratio = math.log((p + 1) / (size[1] + 2)) - math.log((q + 1) / (size[0] + 2))
+        assert codes_of(g) & set(chosen.tolist()) and ratio > 0
+    # The regression over the chosen features is at the minimum of its loss.
+    rows = []
+    for d, _ in known:
+        (block,) = W.blocks(pa.array([texts[d]]))
+        found = np.unique(np.concatenate([codes for codes, _ in toxicity._grams(block)]))
+        rows.append(np.searchsorted(chosen, found[np.isin(found, chosen)]))
+    p, q = (np.array([sum(i in set(r.tolist()) for r, v in zip(rows, y, strict=True) if v == label) for i in range(len(chosen))], float) for label in (1, 0))
+    ratio = np.log((p + 1) / (size[1] + 2)) - np.log((q + 1) / (size[0] + 2))
+    x = np.zeros((len(rows), len(chosen)))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r]
+    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+
+    def loss(w, b):
+        z = x @ w + b
+        return (share * (np.logaddexp(0, z) - y * z)).mean() + 0.5e-4 * (w @ w)
+
+    prior = (y.sum() + 0.5) / (len(y) + 1)
+    own = model.weights[chosen] / ratio
+    reached = loss(own, model.intercept - math.log(prior / (1 - prior)))
+    w, b, step = np.zeros(len(chosen)), 0.0, 4 / (np.linalg.norm(x, 2) ** 2 * share.max() / len(y) + 1)
+    for _ in range(3000):
+        error = share * (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        w, b = w - step * (x.T @ error + 1e-4 * w), b - step * error.sum()
+    assert reached <= loss(w, b) + 0.02
+    # And the score of a text is that of its features.
+    (block,) = W.blocks(pa.array([texts[known[0][0]]]))
+    z = x[0] @ own + model.intercept
+    assert model.score(block)[0] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
