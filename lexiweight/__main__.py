@@ -1,7 +1,8 @@
 """``python -m lexiweight INPUT... OUTPUT``: weigh the words of directories of text files.
 
 Every input is a corpus, named by its last path segment, with a file for each document. The output
-folder gets the sorted report of each corpus. Run it with ``spark-submit`` on a cluster.
+folder gets the sorted report of each corpus. Run it with ``spark-submit`` on a cluster. Lists of files
+are written to ``spark.checkpoint.dir``, or next to the output where that is not set.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--style", choices=("shortest", "fixed"), default="shortest", help="form of the scores")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("lexiweight").getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(f"{given.output.rstrip('/')}-work")
     weigh(spark, given.inputs, given.output, given.profile, given.style)
 
 
