@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -73,9 +74,11 @@ def rooted(path: str, default: str) -> tuple[str, list[str]]:
     scheme = parts.scheme if parts else urlsplit(default).scheme or "file"
     authority = parts.netloc if parts else urlsplit(default).netloc
     plain = re.sub(r"^[^/]*:(//[^/]*)?", "", path) if parts else path
-    segments = [s for s in plain.split("/") if s]
     if not plain.startswith("/"):
-        raise ValueError(f"the path {path!r} is not absolute")
+        if scheme != "file":
+            raise ValueError(f"the path {path!r} is not absolute")
+        plain = f"{os.getcwd()}/{plain}"
+    segments = [s for s in plain.split("/") if s and s != "."]
     globs = [i for i, s in enumerate(segments) if _GLOB.search(s)]
     first = globs[0] if globs else len(segments)
     return f"{scheme}://{authority}/" + "/".join(segments[:first]), [pattern(s) for s in segments[first:]]

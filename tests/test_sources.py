@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 import pytest
@@ -107,7 +108,16 @@ def test_missing_paths_fail(spark, tmp_path):
     with pytest.raises(Exception, match="nothing-here"):
         sources.list_files(spark, f"{tmp_path}/nothing-here")
     with pytest.raises(ValueError, match="absolute"):
-        sources.list_files(spark, "relative")
+        sources.listing.rooted("relative", "hdfs://nn:8020")
+
+
+def test_relative_paths_and_roots(spark, folder):
+    relative = os.path.relpath(folder)
+    assert sizes_of(spark, relative, "c") == sizes_of(spark, f"./{relative}/*", "c") == [("c", 3)]
+    rooted = sources.listing.rooted
+    assert rooted("/a/b*/c", "hdfs://nn:8020") == ("hdfs://nn:8020/a", ["b.*", "c"])
+    assert rooted("s3://bucket/a b", "file:///") == ("s3://bucket/a b", [])
+    assert rooted("file:/x/y", "hdfs://nn:8020") == ("file:///x/y", [])
 
 
 def test_many_names_in_one_folder(spark, tmp_path):
