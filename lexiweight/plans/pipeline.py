@@ -42,9 +42,8 @@ def term_weights(
 
     With ``one_row_per_document``, a document of several rows fails the query. ``sizes`` is
     ``(corpus, num_docs)`` for sources that yield no row for an empty document; by default the
-    documents of ``corpus`` are counted. ``pieces`` says how finely frequent words and long
-    documents are split over tasks (see ``operators.lookup_join``); the plan is the same for any
-    data.
+    documents of ``corpus`` are counted. ``pieces`` is the number of salts that the rows of a word, or
+    of a document, are dealt out over (see ``operators.spread``); the plan is the same for any data.
     """
     if sizes is None:
         sizes = op.corpus_size(corpus, one_row_per_document)
