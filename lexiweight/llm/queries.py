@@ -22,9 +22,8 @@ from lexiweight.llm.substring import remove_repeats
 
 # The scores from which a document counts as label 1.
 GOOD_FROM, TOXIC_FROM = 0.3, 0.5
-# Bytes of a shard: little enough for the tables at hand to be split many times, and for a few documents
-# to be larger than a shard.
-SHARD_BYTES = 32 << 10
+# Bytes of a shard: little enough for the tables at hand to be split.
+SHARD_BYTES = 1 << 20
 # The twenty sources in equal parts; all others together get one more.
 SOURCE_WEIGHTS = {f"src{i}": 1.0 for i in range(20)} | {"": 1.0}
 
