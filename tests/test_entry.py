@@ -33,3 +33,11 @@ def test_files_are_those_of_single_documents(spark, tables, name):
     else:
         expected = [("files", "1", "a", 1), ("files", "1", "b", 2), ("files", "2", "a", 1), ("files", "2", "b", 1)]
         assert sorted(tuple(r) for r in found.select("corpus", "document", "word", "word_count").collect()) == expected
+
+
+def test_lookup_of_a_table_beyond_the_bound_of_a_broadcast(spark, tables):
+    """The table of words has over 64 MiB as text; one word is in all documents."""
+    rows = [(i, f"common {'w' * 1_400_000}{i}", "en", "s") for i in range(50)]
+    found = queries()["icf_lookup"](spark, tables(rows))
+    words = found.selectExpr("document", "length(word) > 6 as long", "num_docs", "num_docs_with_word").collect()
+    assert sorted(tuple(r) for r in words) == sorted((str(i), long, 50, 1 if long else 50) for i in range(50) for long in (False, True))
