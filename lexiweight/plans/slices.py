@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweight import operators as op
+from lexiweight.plans.pipeline import term_counts
 
 # The tables of a slice.
 SCHEMAS = {
-    "counts": "corpus string, document string, word string, word_count bigint",
+    "counts": "corpus string, document string, word string, word_count bigint, doc_size bigint",
     "documents": "corpus string, document string, doc_size bigint",
     "frequencies": "corpus string, word string, num_docs_with_word bigint",
 }
@@ -29,7 +30,7 @@ def write_slice(corpus: DataFrame, path: str, profile: str = "raw") -> None:
     table is computed from the saved one before it; a slice that exists is replaced.
     """
     spark = corpus.sparkSession
-    counts = op.word_count(op.tokens(corpus, profile))
+    counts, _ = term_counts(corpus, profile)
     counts.write.mode("overwrite").parquet(f"{path}/counts")
     counts = spark.read.schema(SCHEMAS["counts"]).parquet(f"{path}/counts")
     op.document_frequency(counts).write.mode("overwrite").parquet(f"{path}/frequencies")
@@ -69,8 +70,7 @@ def merged_frequency(spark: SparkSession, paths: list[str]) -> DataFrame:
 def merged_weights(spark: SparkSession, paths: list[str], pieces: int | None = None) -> DataFrame:
     """``(corpus, document, word, tf, icf, score)`` of the documents of all slices, as if they had been
     counted together."""
-    documents = merged_documents(spark, paths)
-    counts = _all(spark, paths, "counts")
-    parts = op.spread_join(counts, documents, ["corpus", "document"], pieces)
+    # Their sizes are whole, as no document is in two slices; the frequencies check it.
+    parts = _all(spark, paths, "counts")
     table = op.word_table(merged_frequency(spark, paths), merged_size(spark, paths), pieces)
     return op.scores(op.spread_join(parts, table, ["corpus", "word"], pieces))
