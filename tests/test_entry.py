@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import sys
 from pathlib import Path
 
@@ -10,6 +12,10 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from __spark_entry__ import queries  # noqa: E402
+from lexiweight import operators as op  # noqa: E402
+from lexiweight import sinks, sources, term_weights  # noqa: E402
+from lexiweight.operators import lookup  # noqa: E402
+from lexiweight.plans import merged_weights, write_slice  # noqa: E402
 
 
 @pytest.fixture()
@@ -41,3 +47,61 @@ def test_lookup_of_a_table_beyond_the_bound_of_a_broadcast(spark, tables):
     found = queries()["icf_lookup"](spark, tables(rows))
     words = found.selectExpr("document", "length(word) > 6 as long", "num_docs", "num_docs_with_word").collect()
     assert sorted(tuple(r) for r in words) == sorted((str(i), long, 50, 1 if long else 50) for i in range(50) for long in (False, True))
+
+
+@pytest.fixture()
+def corpus_of_rows(corpus):
+    """Two corpora; each document has a row of its own and one more that repeats a word."""
+    rows = [(f"c{i % 2}", f"d{i}", f"common w{i % 7} w{i % 3} w{i % 3}") for i in range(40)]
+    return corpus(rows + [(c, d, "common more") for c, d, _ in rows])
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_salts_of_many_pieces_are_bounded(spark):
+    """A table of a row for each key and salt must not be as long as the rows."""
+    rows = spark.range(5000).selectExpr("'c' as corpus", "'w' as word", "id")
+    assert op.spread(rows, ["corpus", "word"], 40_000).select("salt").distinct().count() <= lookup.MOST_SALTS
+
+
+def test_words_of_documents_of_many_rows_are_shuffled_once_by_document(corpus_of_rows):
+    plan = planned(term_weights(corpus_of_rows, "clean"))
+    assert not re.search(r"Exchange hashpartitioning\(corpus#\d+, document#\d+, word#", plan)
+    found = {(r.corpus, r.document, r.word): (r.tf, r.icf) for r in term_weights(corpus_of_rows, "clean").collect()}
+    assert len(found) == 40 * 2 + sum(len({i % 7, i % 3}) for i in range(40))
+    tf, icf = found["c0", "d0", "common"]
+    assert tf == pytest.approx(math.log(2 / 6 + 1)) and icf == 0
+    assert found["c1", "d1", "w1"][0] == pytest.approx(math.log(3 / 6 + 1))
+
+
+def test_merging_slices_shuffles_no_words_by_document(spark, corpus_of_rows, tmp_path):
+    for i in range(2):
+        write_slice(corpus_of_rows.filter(f"corpus = 'c{i}'"), f"{tmp_path}/{i}", "clean")
+    merged = merged_weights(spark, [f"{tmp_path}/0", f"{tmp_path}/1"])
+    by_document = re.findall(r"Exchange hashpartitioning\(corpus#\d+, document#\d+, salt", planned(merged))
+    assert not by_document
+    assert sorted(merged.collect()) == sorted(term_weights(corpus_of_rows, "clean").collect())
+
+
+def test_union_shuffles_pairs_by_word_alone(corpus_of_rows):
+    tf = op.tf_parts(op.word_count(op.tokens(corpus_of_rows, "clean")))
+    scores = op.scores_by_union(tf, op.icf_parts(tf, None, op.corpus_size(corpus_of_rows)))
+    union = planned(scores).split("Union")[0]
+    assert "Exchange hashpartitioning(" not in union
+    expected = term_weights(corpus_of_rows, "clean").select("corpus", "document", "word", "score").collect()
+    found = {tuple(r)[:3]: r.score for r in scores.collect()}
+    assert found == pytest.approx({tuple(r)[:3]: r.score for r in expected})
+
+
+def test_report_lines_are_numbered_where_they_are_read(spark, corpus_of_rows, tmp_path):
+    for compression in ("none", "lz4"):
+        path = f"{tmp_path}/{compression}"
+        sinks.write_sorted_report(term_weights(corpus_of_rows, "clean"), path, compression=compression)
+        report = sources.scan_report(spark, path)
+        assert "BroadcastHashJoin" in planned(report) and "SortMergeJoin" not in planned(report)
+        for name in ("c0", "c1"):
+            lines = sorted(report.filter(f"corpus = '{name}'").collect(), key=lambda r: r.rank)
+            assert [r.rank for r in lines] == list(range(1, len(lines) + 1))
+            assert [r.key for r in lines] == sorted(r.key for r in lines)
