@@ -14,10 +14,12 @@ PAIR = ["corpus", "document", "word"]
 def tf_parts(counts: DataFrame, pieces: int | None = None) -> DataFrame:
     """``(corpus, document, word, word_count, doc_size)`` from word counts of any corpus.
 
+    Counts of combined tokens, which have a ``salt``, stay where they are.
+
     Here and below, ``pieces`` is the number of salts that the rows of a key are dealt out over, up to the
     bound of ``lookup.spread``.
     """
-    dealt = spread(counts, ["corpus", "document"], pieces)
+    dealt = counts if "salt" in counts.columns else spread(counts, ["corpus", "document"], pieces)
     return join_spread(dealt, size_table(dealt), ["corpus", "document"]).select(*PAIR, "word_count", "doc_size")
 
 

@@ -63,9 +63,7 @@ def counts_by_document(corpus: DataFrame, profile: str = "raw", pieces: int | No
     Each row of the corpus is counted by itself first; the words of a document are dealt out over salts
     by word, so that a document of any length is counted by many tasks.
     """
-    rows = op.row_counts(corpus, profile).select("corpus", "document", "word", "word_count")
-    dealt = op.spread(rows, ["corpus", "document"], pieces, by=["word"])
-    return dealt.groupBy(*BY_DOCUMENT, "word").agg(F.sum("word_count").alias("word_count"))
+    return op.word_count(op.tokens(corpus, profile, combined=True), pieces)
 
 
 def parts_of_counts(counts: DataFrame) -> DataFrame:

@@ -105,3 +105,24 @@ def test_report_lines_are_numbered_where_they_are_read(spark, corpus_of_rows, tm
             lines = sorted(report.filter(f"corpus = '{name}'").collect(), key=lambda r: r.rank)
             assert [r.rank for r in lines] == list(range(1, len(lines) + 1))
             assert [r.key for r in lines] == sorted(r.key for r in lines)
+
+
+def counts_of(corpus_of_rows):
+    """Words, occurrences and sizes of all documents, counted here."""
+    words = {}
+    for r in corpus_of_rows.collect():
+        words.setdefault((r.corpus, r.document), []).extend((r.text or "").split())
+    return sorted((*k, w, own.count(w), len(own)) for k, own in words.items() for w in set(own))
+
+
+def test_tf_parts_shuffles_pairs_once(spark, tables, corpus_of_rows):
+    """The counts lie where the sizes of documents come to them; documents of many rows are added up."""
+    rows = [(i, f"common w{i % 7} w{i % 3} w{i % 3}", f"c{i % 2}", "s") for i in range(40)]
+    plan = planned(queries()["tf_parts"](spark, tables(rows + rows[:5])))
+    assert not re.search(r"Exchange hashpartitioning\(corpus#\d+, document#\d+, word#", plan)
+    assert len(set(re.findall(r"Exchange hashpartitioning\(.*REPARTITION_BY_COL, \[plan_id=(\d+)", plan))) <= 2
+    for pieces in (None, 1, 1000):
+        combined = op.word_count(op.tokens(corpus_of_rows, "clean", combined=True), pieces)
+        plain = op.word_count(op.tokens(corpus_of_rows, "clean"))
+        assert sorted(combined.select(*plain.columns).collect()) == sorted(plain.collect())
+        assert sorted(tuple(r) for r in op.tf_parts(combined).collect()) == counts_of(corpus_of_rows)
