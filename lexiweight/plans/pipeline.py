@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lexiweight import operators as op
 from lexiweight.sinks import write_stage
@@ -92,10 +91,12 @@ def term_weights_staged(
     ``form`` is ``parquet``, or ``text`` for the tab-separated lines of ``sinks.write_stage``.
     ``path`` must be on storage that all workers share.
 
-    The Parquet stages ``word_count`` and ``tf_parts`` are in buckets, by document and by word. The pairs
-    are shuffled twice in all, on their way into either layout: what a stage joins with them comes to
-    where they lie. Names of corpora, documents and words are columns of any content. ``pieces`` is the
-    number of salts of ``operators.spread``.
+    The Parquet stage ``word_count`` has two parts. Documents of one row are written where they are counted,
+    with their size; those of several are shuffled into buckets by document, where their sizes come to them.
+    The stage ``tf_parts`` is in buckets by word. So the pairs of most documents are shuffled once, into that
+    layout, and those of several rows twice: what a stage joins with them comes to where they lie. Names of
+    corpora, documents and words are columns of any content. ``pieces`` is the number of salts of
+    ``operators.spread``.
     """
     spark = corpus.sparkSession
     sizes = op.corpus_size(corpus) if sizes is None else sizes
@@ -109,13 +110,18 @@ def term_weights_staged(
         weighted = op.scores(op.icf_parts(parts, None, sizes, pieces))
         return stage(weighted.select("corpus", "document", "word", "score"), "scores")
 
+    def written(table: DataFrame, name: str) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{path}/{name}")
+
     def bucketed(table: DataFrame, name: str, keys: list[str]) -> DataFrame:
         write_buckets(table, f"{path}/{name}", keys)
         return read_buckets(spark, f"{path}/{name}", table.schema, keys)
 
-    counts = bucketed(counts_by_document(corpus, profile, pieces), "word_count", BY_DOCUMENT)
-    by_word = op.spread(parts_of_counts(counts), ["corpus", "word"], pieces, by=["document"])
+    whole, others = op.by_rows(corpus, written(op.slots_of_many_rows(corpus), "slots"))
+    sized = written(op.row_counts(whole, profile), "word_count/whole")
+    counts = bucketed(counts_by_document(others, profile, pieces), "word_count/others", BY_DOCUMENT)
+    all_parts = sized.unionByName(parts_of_counts(counts))
+    by_word = op.spread(all_parts, ["corpus", "word"], pieces, by=["document"])
     parts = bucketed(by_word, "tf_parts", BY_WORD)
-    scored = scores_of_parts(parts, sizes, pieces)
-    scored.write.mode("overwrite").parquet(f"{path}/scores")
-    return spark.read.schema(scored.schema).parquet(f"{path}/scores")
+    return written(scores_of_parts(parts, sizes, pieces), "scores")

@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from __spark_entry__ import queries  # noqa: E402
 from lexiweight import operators as op  # noqa: E402
-from lexiweight import sinks, sources, term_weights  # noqa: E402
+from lexiweight import sinks, sources, term_weights, term_weights_staged  # noqa: E402
 from lexiweight.operators import lookup  # noqa: E402
 from lexiweight.plans import merged_weights, write_slice  # noqa: E402
 
@@ -126,3 +126,24 @@ def test_tf_parts_shuffles_pairs_once(spark, tables, corpus_of_rows):
         plain = op.word_count(op.tokens(corpus_of_rows, "clean"))
         assert sorted(combined.select(*plain.columns).collect()) == sorted(plain.collect())
         assert sorted(tuple(r) for r in op.tf_parts(combined).collect()) == counts_of(corpus_of_rows)
+
+
+@pytest.mark.parametrize("slots", [1, 3, 1 << 17])
+def test_staged_pairs_of_one_row_documents_stay_where_they_are_counted(spark, corpus, tmp_path, monkeypatch, slots):
+    """Documents of one row are not shuffled to be counted; those of several are found, whatever shares their slot."""
+    monkeypatch.setattr(sys.modules["lexiweight.operators.tokens"], "SLOTS", slots)
+    single = [("c", f"d{i}", f"common w{i % 7} w{i % 7}") for i in range(30)] + [("c", "none", None), ("e", "d1", " ")]
+    several = [("c", "many", "common w1"), ("c", "many", "w1"), ("e", "d0", "a"), ("e", "d0", "a"), ("e", "d0", None)]
+    for rows in (single, several, single + several):
+        documents, path = corpus(rows), f"{tmp_path}/{len(rows)}"
+        expected = term_weights(documents, "clean").select("corpus", "document", "word", "score").collect()
+        assert sorted(term_weights_staged(documents, path, "clean").collect()) == sorted(expected)
+        names = {}
+        for part in ("whole", "others"):
+            stage = spark.read.schema("corpus string, document string").parquet(f"{path}/word_count/{part}")
+            names[part] = {tuple(r) for r in stage.collect()}
+        assert not names["whole"] & {("c", "many"), ("e", "d0")} and not names["whole"] & names["others"]
+        if rows is single:
+            assert len(names["whole"]) == 30 and not names["others"]
+        assert spark.read.parquet(f"{path}/slots").count() <= slots
+    assert "Exchange hashpartitioning" not in planned(op.row_counts(op.by_rows(documents, spark.read.parquet(f"{path}/slots"))[0], "clean"))
