@@ -56,15 +56,19 @@ def _bits(prefix: Column, depth: Column) -> Column:
     return F.when(depth > 0, F.lpad(F.bin(prefix), depth, F.lit("0"))).otherwise(F.lit(""))
 
 
-def _locate(rows: DataFrame, leaves: DataFrame, last: int) -> DataFrame:
-    """Each row with its bucket. As in the directory of the method, a bucket has an entry for every
-    longest prefix that begins with its own bits."""
-    spread = (F.lit(last) - F.col("own_depth")).cast("int")
-    first = F.call_function("shiftleft", "own_prefix", spread)
-    entries = leaves.select(
+def _locate(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Each row with its bucket: that of its prefixes, of the lengths that buckets have, which is a bucket.
+
+    The directory of the method has an entry for every longest prefix, far more than there are buckets if
+    some of them are deep. It is not spelled out here: what rows are joined with is a row for each bucket.
+    """
+    buckets = leaves.select(
         "stem", F.col("depth").alias("own_depth"), F.col("prefix").alias("own_prefix"), F.col("bytes").alias("shard_bytes"), "fits"
-    ).withColumn("finest", F.explode(F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("bigint"), spread) - 1)))
-    joined = rows.withColumn("finest", _prefix(F.col("hash"), last)).join(entries, ["stem", "finest"])
+    )
+    lengths = leaves.agg(F.sort_array(F.collect_set("depth"))).scalar()
+    tried = rows.withColumn("own_depth", F.explode(lengths))
+    tried = tried.withColumn("own_prefix", _prefix(F.col("hash"), F.col("own_depth")))
+    joined = tried.join(buckets, ["stem", "own_depth", "own_prefix"])
     return joined.select(
         *rows.columns,
         "fits",
@@ -98,14 +102,13 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, carry: list[str] |
     )
     parts, depth = [], 0
     while True:
-        last = min(depth + STEP, HASH_BITS)
         leaves = saved(_leaves(rows, depth, limit), "directory")
-        found = _locate(rows, leaves, last)
+        found = _locate(rows, leaves)
         parts.append(found.filter("fits").drop("hash", "stem", "fits"))
         if leaves.filter("not fits").isEmpty():
             return reduce(DataFrame.unionByName, parts).select("doc_id", "bytes", "shard", "depth", "shard_bytes", "row")
         rows = found.filter("not fits").select(*rows.columns)
-        depth = last
+        depth = min(depth + STEP, HASH_BITS)
         if depth == HASH_BITS:
             stem = F.concat("stem", _bits(F.col("hash"), F.lit(HASH_BITS)))
             place = key_hash(F.lit("place"), F.monotonically_increasing_id())

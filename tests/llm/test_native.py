@@ -71,6 +71,14 @@ def test_directory_rules(spark, monkeypatch, step):
     assert all(above[s[:-1]] > 500 for s in size if s)
 
 
+def test_a_long_step_spells_out_no_directory(spark, monkeypatch):
+    """Rows meet a row for each bucket; a directory of all prefixes of 40 bits could not be made."""
+    monkeypatch.setattr(sharding, "STEP", 40)
+    rows = random_rows(5)
+    found = sharding.assign_shards(documents(spark, rows), 130).drop("row")
+    assert sorted(map(tuple, found.collect())) == sorted(in_duckdb(rows, sharding_sql(130)))
+
+
 def test_repeated_rows_are_split_by_their_place(spark, monkeypatch):
     monkeypatch.setattr(sharding, "STEP", 6)
     monkeypatch.setattr(sharding, "HASH_BITS", 12)
