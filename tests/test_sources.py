@@ -142,6 +142,40 @@ def test_partitions_follow_the_setting(spark, tmp_path):
             spark.conf.set(n, v)
 
 
+@pytest.mark.parametrize("scan", [sources.scan_documents, sources.scan_lines])
+def test_files_beyond_those_whose_names_the_driver_holds(spark, folder, monkeypatch, scan):
+    for name in ("a {b,c}.txt", "d[1]*?", "e\\f", "g,h"):
+        (Path(folder) / name).write_text(f"text of {name}\nmore")
+    whole = lambda p: p
+    expected = sorted(scan(spark, folder, "c", whole).collect())
+    held = []
+    monkeypatch.setattr(sources.files, "FILES_AT_ONCE", 2, raising=False)
+    texts = sources.files._texts
+    monkeypatch.setattr(sources.files, "_texts", lambda s, p, **o: held.append(p) or texts(s, p, **o))
+    assert sorted(scan(spark, folder, "c", whole).collect()) == expected
+    assert len(held) > 2 and all(isinstance(p, list) for p in held)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Spark puts 32 small files into a partition of 128 MB, as each counts 4 MB more."""
+    for i in range(1200):
+        (tmp_path / f"{i}").write_text("x")
+    few = sources.files.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert sources.scan_lines(spark, str(tmp_path), "c").rdd.getNumPartitions() <= few
+
+
+def test_written_documents(spark, corpus, tmp_path):
+    """A file for each document, whatever its name, rows as lines; no rows are no files."""
+    rows = [("c", "1", "a b"), ("c", "1", None), ("c", "x/y=%z", "é\n"), ("c", "", "s"), ("c", None, "t")]
+    for number, part in ((3, rows), (0, [])):
+        path = f"{tmp_path}/{number}"
+        sinks.write_documents(corpus(part), path)
+        found = {r.path.split("document=")[1]: sorted(r.text.split("\n")) for r in sources.files._read(spark, path, wholetext=True).collect()}
+        names = {"1/text": ["", "", "a b"], "x%2Fy%3D%25z/text": ["", "", "é"], "__HIVE_DEFAULT_PARTITION__/text": ["", "s", "t"]}
+        assert found == (names if number else {})
+        assert sources.list_files(spark, path).count() == number
+
+
 @pytest.mark.parametrize("scan", [sources.scan_documents, sources.scan_lines])
 def test_equal_names_in_several_folders(spark, tmp_path, scan):
     for name in ("x", "y"):
