@@ -128,6 +128,20 @@ def test_tf_parts_shuffles_pairs_once(spark, tables, corpus_of_rows):
         assert sorted(tuple(r) for r in op.tf_parts(combined).collect()) == counts_of(corpus_of_rows)
 
 
+def test_icf_parts_shuffles_pairs_once(spark, tables, corpus_of_rows):
+    """The counts are added up where the frequencies of words come to them; documents may have many rows."""
+    rows = [(i, f"common w{i % 7} w{i % 3} w{i % 3}", f"c{i % 2}", "s") for i in range(40)]
+    plan = planned(queries()["icf_parts"](spark, tables(rows + rows[:5])))
+    assert not re.search(r"Exchange hashpartitioning\(corpus#\d+, document#\d+, word#", plan)
+    assert len(set(re.findall(r"Exchange hashpartitioning\(corpus#\d+, word#\d+, salt#\d+, .*REPARTITION_BY_COL, \[plan_id=(\d+)", plan))) <= 2
+    sizes = op.corpus_size(corpus_of_rows)
+    expected = op.icf_parts(op.word_count(op.tokens(corpus_of_rows, "clean")), None, sizes)
+    for pieces in (None, 1, 1000):
+        counts = op.word_count(op.tokens(corpus_of_rows, "clean", combined=True), pieces, "word")
+        found = op.icf_parts(counts, None, sizes, pieces).select(*expected.columns)
+        assert sorted(found.collect()) == sorted(expected.collect())
+
+
 @pytest.mark.parametrize("slots", [1, 3, 1 << 17])
 def test_staged_pairs_of_one_row_documents_stay_where_they_are_counted(spark, corpus, tmp_path, monkeypatch, slots):
     """Documents of one row are not shuffled to be counted; those of several are found, whatever shares their slot."""
